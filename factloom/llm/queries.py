@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, leaks, uniform
+from factloom.llm import boilerplate, bpe, leaks, uniform
 from factloom.session import table
 
 
@@ -19,6 +19,22 @@ def p10_uniform(spark: SparkSession, d: str) -> DataFrame:
     return uniform.add_uniform(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "uniform_text")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """All lines to remove: those in blocks (of one line or more) that a source repeats."""
+    return boilerplate.repeated_lines(table(spark, d, "content_items")).withColumnRenamed("item", "content_item_id")
+
+
+def p1_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The repeated blocks of each source by their number of lines."""
+    return boilerplate.Blocks(table(spark, d, "content_items")).report().drop("block")
+
+
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every item's body without the repeated lines."""
+    items = table(spark, d, "content_items").select("id", "source_id", "body_text")
+    return boilerplate.without_repeated_lines(items).select(F.col("id").alias("content_item_id"), "clean_text")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
     return bpe.encode_corpus(table(spark, d, "documents"))
@@ -34,5 +50,14 @@ def p9_edited(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "benchmark"), words=16, errors=2)
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p9_edited": p9_edited, "p10_found": p10_found, "p10_uniform": p10_uniform}
-ORACLE = {"p10_found": uniform.oracle()}
+QUERIES = {"p1_found": p1_found, "p1_blocks": p1_blocks, "p1_clean": p1_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p9_edited": p9_edited, "p10_found": p10_found, "p10_uniform": p10_uniform}
+_LINE = r"trim(regexp_replace(regexp_replace(lower(line), '[\s\p{Z}]+', ' ', 'g'), '\p{Nd}+', '0', 'g'))"
+_P1 = f"""
+with items as (select distinct id, source_id, body_text from content_items where body_text <> '' and source_id is not null),
+cut as (select id, source_id, unnest(string_split(body_text, chr(10))) as line, generate_subscripts(string_split(body_text, chr(10)), 1) as line_no from items),
+keyed as (select id, source_id, line_no, {_LINE} as k from cut),
+n as (select source_id, count(distinct id) as n from items group by 1),
+hot as (select source_id, k from keyed join n using (source_id) where k <> '' group by source_id, k, n having count(distinct id) >= 3 and count(distinct id) * 40 >= n)
+select distinct id as content_item_id, line_no from keyed join hot using (source_id, k)"""
+
+ORACLE = {"p1_found": _P1, "p10_found": uniform.oracle()}
