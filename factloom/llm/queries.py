@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import boilerplate, bpe, leaks, uniform
+from factloom.llm import boilerplate, bpe, leaks, neardup, uniform
 from factloom.session import table
 
 
@@ -35,6 +35,22 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.without_repeated_lines(items).select(F.col("id").alias("content_item_id"), "clean_text")
 
 
+def _stories(spark: SparkSession, d: str) -> neardup.NearDuplicates:
+    items = table(spark, d, "content_items").filter("body_text != ''").select("id", "title", "body_text")
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("body_text"))
+    return neardup.NearDuplicates(items.select(F.col("id").alias("k"), text.alias("t")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of items that are alike in half of their three-word sequences."""
+    return _stories(spark, d).pairs()
+
+
+def p7_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every item with its class of equal sequence sets and the classes it is alike to."""
+    return _stories(spark, d).membership().withColumnRenamed("k", "content_item_id")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
     return bpe.encode_corpus(table(spark, d, "documents"))
@@ -50,7 +66,7 @@ def p9_edited(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "benchmark"), words=16, errors=2)
 
 
-QUERIES = {"p1_found": p1_found, "p1_blocks": p1_blocks, "p1_clean": p1_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p9_edited": p9_edited, "p10_found": p10_found, "p10_uniform": p10_uniform}
+QUERIES = {"p7_found": p7_found, "p7_classes": p7_classes, "p1_found": p1_found, "p1_blocks": p1_blocks, "p1_clean": p1_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p9_edited": p9_edited, "p10_found": p10_found, "p10_uniform": p10_uniform}
 _LINE = r"trim(regexp_replace(regexp_replace(lower(line), '[\s\p{Z}]+', ' ', 'g'), '\p{Nd}+', '0', 'g'))"
 _P1 = f"""
 with items as (select distinct id, source_id, body_text from content_items where body_text <> '' and source_id is not null),
@@ -60,4 +76,11 @@ n as (select source_id, count(distinct id) as n from items group by 1),
 hot as (select source_id, k from keyed join n using (source_id) where k <> '' group by source_id, k, n having count(distinct id) >= 3 and count(distinct id) * 40 >= n)
 select distinct id as content_item_id, line_no from keyed join hot using (source_id, k)"""
 
-ORACLE = {"p1_found": _P1, "p10_found": uniform.oracle()}
+_P7 = r"""
+with t as (select id, regexp_extract_all(lower(coalesce(title, '') || ' ' || body_text), '[\p{L}\p{N}]+') as w from content_items where body_text <> ''),
+g as (select distinct id, hash(w[i] || ' ' || w[i+1] || ' ' || w[i+2]) as s from (select id, w, unnest(range(1, len(w) - 1)) as i from t)),
+n as (select id, count(*) as n from g group by 1),
+c as (select a.id as x, b.id as y, count(*) as c from g a join g b on a.s = b.s and a.id < b.id group by 1, 2)
+select x as id_a, y as id_b from c join n p on p.id = x join n q on q.id = y where c * 3 >= p.n + q.n"""
+
+ORACLE = {"p7_found": _P7, "p1_found": _P1, "p10_found": uniform.oracle()}
