@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,14 +91,19 @@ class NearDuplicates:
     keys or texts, and texts of fewer than ``size`` words, belong to no class:
     they have no elements in common with anything. Similarity is
     ``num / den``, from just above 0 to 1.
+
+    ``ranks`` fixes the order of elements (else the counts of these texts give
+    it); with it, ``old_postings`` and ``old_vectors`` of earlier texts under
+    the same order may be given, and links to those are found as well.
     """
 
-    def __init__(self, texts: DataFrame, size: int = 3, num: int = 1, den: int = 2):
+    def __init__(self, texts: DataFrame, size: int = 3, num: int = 1, den: int = 2, ranks: bytes | None = None, old_postings: DataFrame | None = None, old_vectors: DataFrame | None = None):
         if not 0 < num <= den:
             raise ValueError("a similarity above 0, at most 1")
         self.texts = texts.select(F.col("k").cast("long").alias("k"), "t").filter("k is not null and t is not null")
         self.size, self.num, self.den = size, num, den
         self.spark = texts.sparkSession
+        self._ranks, self.old_postings, self.old_vectors = ranks, old_postings, old_vectors
         first = cut(self._first_pass())
         self.sets = first.filter("k is not null").select("k", "set", "n", "bits")
         self._blocks = first.filter("k is null").select("block", "salt", F.col("bits").alias("counts"))
@@ -108,14 +114,13 @@ class NearDuplicates:
         size = self.size
 
         def each(batches):
-            counts, task = np.zeros(BUCKETS, np.int64), 0
+            counts, salt = np.zeros(BUCKETS, np.int64), TaskContext.get().partitionId() % 32
             for b in batches:
                 keys, texts = b.column(0), b.column(1).to_pylist()
                 for lo, hi in slices(texts):
                     h, offsets = element_sets(texts[lo:hi], size)
                     counts += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
                     some = np.flatnonzero(np.diff(offsets))
-                    task = int(h[0] >> np.uint64(59)) if len(h) else task
                     if len(some):
                         bits = [x.tobytes() for x in ring_bitmaps(h, offsets)[some]]
                         empty = pa.nulls(len(some), pa.int64())
@@ -128,7 +133,7 @@ class NearDuplicates:
                 none = pa.nulls(len(blocks), pa.int64())
                 data = pa.array([counts[i * _BLOCK : (i + 1) * _BLOCK].tobytes() for i in blocks], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [none, none, none.cast(pa.int32()), data, pa.array(blocks, pa.int64()), pa.array([task] * len(blocks), pa.int64())], names=["k", "set", "n", "bits", "block", "salt"]
+                    [none, none, none.cast(pa.int32()), data, pa.array(blocks, pa.int64()), pa.array([salt] * len(blocks), pa.int64())], names=["k", "set", "n", "bits", "block", "salt"]
                 )
 
         return self.texts.mapInArrow(each, "k long, set long, n int, bits binary, block long, salt long")
@@ -141,21 +146,29 @@ class NearDuplicates:
             total[r.block * _BLOCK : (r.block + 1) * _BLOCK] = np.frombuffer(r.counts, np.int64)
         return total
 
+    def ranks(self) -> bytes:
+        """The rank of every counter, one byte each: the logarithm of its count."""
+        if self._ranks is None:
+            self._ranks = np.minimum(np.log2(self._counts() + 1) * 8, 255).astype(np.uint8).tobytes()
+        return self._ranks
+
     def _only(self, keys: DataFrame, keep: bool, rows: int) -> DataFrame:
         """The texts whose key is in ``keys`` (or is not), broadcast if they are few."""
         side = F.broadcast(keys) if rows <= MOST_BROADCAST else keys
         return self.texts.join(side, "k", "left_semi" if keep else "left_anti")
 
-    def _postings(self) -> DataFrame:
-        """(element, set, n, pos): the first elements of every class, rare ones first."""
-        copies = self.sets.join(self.classes.select("k"), "k", "left_anti").select("k")
+    def _one_each(self) -> DataFrame:
+        """The text of the least key of every class."""
         more = self.sets.count() - self.classes.count()
-        one_each = self._only(copies, False, more) if more else self.texts
-        rank = np.minimum(np.log2(self._counts() + 1) * 8, 255).astype(np.uint8)
-        shared, size, num, den = self.spark.sparkContext.broadcast(rank), self.size, self.num, self.den
+        copies = self.sets.join(self.classes.select("k"), "k", "left_anti").select("k")
+        return self._only(copies, False, more) if more else self.texts
+
+    def postings(self) -> DataFrame:
+        """(element, set, n, pos): the first elements of every class, rare ones first."""
+        shared, size, num, den = self.spark.sparkContext.broadcast(self.ranks()), self.size, self.num, self.den
 
         def each(batches):
-            ranks = shared.value
+            ranks = np.frombuffer(shared.value, np.uint8)
             for b in batches:
                 texts = b.column(1).to_pylist()
                 for lo, hi in slices(texts):
@@ -173,22 +186,46 @@ class NearDuplicates:
                         names=["element", "set", "n", "pos"],
                     )
 
-        return one_each.mapInArrow(each, "element long, set long, n int, pos int")
+        return self._one_each().mapInArrow(each, "element long, set long, n int, pos int")
 
     def candidates(self) -> DataFrame:
         """(a, b) of different sets that share an early element; a is the smaller set."""
         num, den = self.num, self.den
-        p = self._postings().repartition(F.col("element"))
+        p = self.postings().repartition(F.col("element"))
         a, b = p.toDF("element", "a", "na", "pa"), p.toDF("element", "b", "nb", "pb")
         # common elements needed: at least num / (num + den) of a + b
         need = f"cast(ceil((na + nb) * {num} / {num + den}D - 1e-9) as int)"
-        both = a.join(b, "element").filter("na < nb or (na = nb and a < b)").filter(f"nb * {num} <= na * {den}")
-        return both.filter(f"least(na - pa, nb - pb) >= {need}").select("a", "b").distinct()
+        room = f"greatest(na, nb) * {num} <= least(na, nb) * {den} and least(na - pa, nb - pb) >= {need}"
+        out = a.join(b, "element").filter("na < nb or (na = nb and a < b)").filter(room).select("a", "b")
+        if self.old_postings is not None:
+            old = self.old_postings.select("element", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+            out = out.unionByName(a.join(old, "element").filter("a != b").filter(room).select("a", "b"))
+        return out.distinct()
+
+    def vectors(self, texts: DataFrame) -> DataFrame:
+        """(set, n, bits, elements): the full sets of texts of this collection."""
+        size = self.size
+
+        def full(batches):
+            for b in batches:
+                t = b.column(1).to_pylist()
+                for lo, hi in slices(t):
+                    h, offsets = element_sets(t[lo:hi], size)
+                    some = np.flatnonzero(np.diff(offsets))
+                    bits = [x.tobytes() for x in ring_bitmaps(h, offsets)[some]]
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(offsets[some], len(h)), pa.int32()), pa.array(h.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(set_ids(h, offsets)[some]), pa.array(np.diff(offsets)[some].astype(np.int32)), pa.array(bits, pa.binary()), lists], names=["set", "n", "bits", "elements"]
+                    )
+
+        return texts.mapInArrow(full, "set long, n int, bits binary, elements array<long>")
 
     def links(self) -> DataFrame:
         """(set_a, set_b, common, na, nb): all pairs of different sets of enough similarity."""
         num, den = self.num, self.den
         c = self.classes.select("set", "n", "bits")
+        if self.old_vectors is not None:
+            c = c.unionByName(self.old_vectors.select("set", "n", "bits")).dropDuplicates(["set"])
         x = self.candidates().join(c.toDF("a", "na", "bits_a"), "a").join(c.toDF("b", "nb", "bits_b"), "b")
 
         def chained(batches):
@@ -203,18 +240,9 @@ class NearDuplicates:
         near = cut(x.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(chained, "a long, b long"))
         used = near.select(F.explode(F.array("a", "b")).alias("set")).distinct()
         keys = cut(self.classes.join(used, "set").select("k"))
-        size = self.size
-
-        def full(batches):
-            for b in batches:
-                texts = b.column(1).to_pylist()
-                for lo, hi in slices(texts):
-                    h, offsets = element_sets(texts[lo:hi], size)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(set_ids(h, offsets)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h.view(np.int64)))], names=["set", "elements"]
-                    )
-
-        whole = self._only(keys, True, keys.count()).mapInArrow(full, "set long, elements array<long>")
+        whole = self.vectors(self._only(keys, True, keys.count())).select("set", "elements")
+        if self.old_vectors is not None:
+            whole = whole.unionByName(self.old_vectors.join(used, "set", "left_semi").select("set", "elements")).dropDuplicates(["set"])
         both = near.join(whole.toDF("a", "ea"), "a").join(whole.toDF("b", "eb"), "b")
         both = both.select(F.col("a").alias("set_a"), F.col("b").alias("set_b"), F.size(F.array_intersect("ea", "eb")).alias("common"), F.size("ea").alias("na"), F.size("eb").alias("nb"))
         return both.filter(F.col("common") * (num + den) >= num * (F.col("na") + F.col("nb")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import boilerplate, bpe, leaks, neardup, uniform
+from factloom.llm import boilerplate, bpe, history, leaks, neardup, uniform
 from factloom.session import table
 
 
@@ -35,6 +35,16 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.without_repeated_lines(items).select(F.col("id").alias("content_item_id"), "clean_text")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Items that repeat an accepted one, judged in two loads through the persisted index."""
+    return history.judge_in_batches(table(spark, d, "raw_source_items"), table(spark, d, "raw_blobs"), 2)
+
+
+def p3_bulk(spark: SparkSession, d: str) -> DataFrame:
+    """The same as one load against an empty index."""
+    return history.judge_in_batches(table(spark, d, "raw_source_items"), table(spark, d, "raw_blobs"), 1)
+
+
 def _stories(spark: SparkSession, d: str) -> neardup.NearDuplicates:
     items = table(spark, d, "content_items").filter("body_text != ''").select("id", "title", "body_text")
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("body_text"))
@@ -66,7 +76,7 @@ def p9_edited(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "benchmark"), words=16, errors=2)
 
 
-QUERIES = {"p7_found": p7_found, "p7_classes": p7_classes, "p1_found": p1_found, "p1_blocks": p1_blocks, "p1_clean": p1_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p9_edited": p9_edited, "p10_found": p10_found, "p10_uniform": p10_uniform}
+QUERIES = {"p3_found": p3_found, "p3_bulk": p3_bulk, "p7_found": p7_found, "p7_classes": p7_classes, "p1_found": p1_found, "p1_blocks": p1_blocks, "p1_clean": p1_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p9_edited": p9_edited, "p10_found": p10_found, "p10_uniform": p10_uniform}
 _LINE = r"trim(regexp_replace(regexp_replace(lower(line), '[\s\p{Z}]+', ' ', 'g'), '\p{Nd}+', '0', 'g'))"
 _P1 = f"""
 with items as (select distinct id, source_id, body_text from content_items where body_text <> '' and source_id is not null),
