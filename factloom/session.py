@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, written to the shared folder, its lineage cut."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.checkpoint(eager=True).toDF(*df.columns)  # columns of their own, for joins with what it came from
 
 
 def scratch(spark: SparkSession, what: str) -> str:
