@@ -33,7 +33,7 @@ from factloom.llm.textarrays import code_points, mix, shingles, slices, word_has
 from factloom.session import cut
 
 SEGMENTS = 16
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
 _BLOCK = 1 << 12
 #: Ids of copies are broadcast up to this many rows (8 bytes each), else joined by shuffle.
 MOST_BROADCAST = 200_000
@@ -78,7 +78,7 @@ def _sum_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Sums the counter blocks of equal keys."""
 
     def each(key, table):
-        total = np.sum([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()], axis=0)
+        total = np.sum([np.frombuffer(x, np.float32) for x in table.column("counts").to_pylist()], axis=0, dtype=np.float32)
         return pa.table([pa.array([k.as_py()], pa.int64()) for k in key] + [pa.array([total.tobytes()], pa.binary())], names=[*keys, "counts"])
 
     return rows.groupBy(*keys).applyInArrow(each, ", ".join(f"{k} long" for k in keys) + ", counts binary")
@@ -131,7 +131,7 @@ class NearDuplicates:
             blocks = [i for i in range(BUCKETS // _BLOCK) if counts[i * _BLOCK : (i + 1) * _BLOCK].any()]
             if blocks:
                 none = pa.nulls(len(blocks), pa.int64())
-                data = pa.array([counts[i * _BLOCK : (i + 1) * _BLOCK].tobytes() for i in blocks], pa.binary())
+                data = pa.array([counts[i * _BLOCK : (i + 1) * _BLOCK].astype(np.float32).tobytes() for i in blocks], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [none, none, none.cast(pa.int32()), data, pa.array(blocks, pa.int64()), pa.array([salt] * len(blocks), pa.int64())], names=["k", "set", "n", "bits", "block", "salt"]
                 )
@@ -140,10 +140,10 @@ class NearDuplicates:
 
     def _counts(self) -> np.ndarray:
         """The counters of all texts: BUCKETS numbers, whatever the corpus."""
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.float64)
         by_task = _sum_blocks(self._blocks.select("block", "salt", "counts"), ["block", "salt"])
         for r in _sum_blocks(by_task.select("block", "counts"), ["block"]).toLocalIterator():
-            total[r.block * _BLOCK : (r.block + 1) * _BLOCK] = np.frombuffer(r.counts, np.int64)
+            total[r.block * _BLOCK : (r.block + 1) * _BLOCK] = np.frombuffer(r.counts, np.float32)
         return total
 
     def ranks(self) -> bytes:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import boilerplate, bpe, history, leaks, neardup, uniform
+from factloom.llm import boilerplate, bpe, history, leaks, names, neardup, uniform
 from factloom.session import table
 
 
@@ -45,6 +45,45 @@ def p3_bulk(spark: SparkSession, d: str) -> DataFrame:
     return history.judge_in_batches(table(spark, d, "raw_source_items"), table(spark, d, "raw_blobs"), 1)
 
 
+def _typed_names(spark: SparkSession, d: str) -> DataFrame:
+    """(src_table, row_id, entity_id, person, name, hint) of all typed names that are no collective."""
+    votes = table(spark, d, "bill_votes").select(F.lit("bill_votes").alias("src_table"), F.col("id").alias("row_id"), "entity_id", F.lit(True).alias("person"), F.col("deputy_name").alias("name"), F.col("faction").alias("hint"))
+    sponsors = table(spark, d, "bill_sponsors").filter("coalesce(is_collective, 0) = 0")
+    sponsors = sponsors.select(F.lit("bill_sponsors").alias("src_table"), F.col("id").alias("row_id"), "entity_id", F.lit(True).alias("person"), F.col("sponsor_name").alias("name"), F.col("faction").alias("hint"))
+    parties = table(spark, d, "contract_parties")
+    parties = parties.select(F.lit("contract_parties").alias("src_table"), F.col("id").alias("row_id"), "entity_id", F.lit(False).alias("person"), F.col("party_name").alias("name"), F.col("inn").alias("hint"))
+    return votes.unionByName(sponsors).unionByName(parties)
+
+
+def _named_entities(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "entities").filter("entity_type in ('person', 'organization')")
+    person = F.col("entity_type") == "person"
+    return e.select("id", person.alias("person"), F.col("canonical_name").alias("name"), F.when(person, F.col("description")).otherwise(F.col("inn")).alias("hint"))
+
+
+def _linked(rows: DataFrame, entities: DataFrame) -> DataFrame:
+    rows = rows.withColumnRenamed("entity_id", "given")
+    linked = names.link(rows, entities)
+    linked = linked.toDF("_person", "_name", "_hint", "entity_id")
+    same = (F.col("person") == F.col("_person")) & (F.col("name") == F.col("_name")) & F.col("hint").eqNullSafe(F.col("_hint"))
+    return rows.join(linked, same).select("src_table", "row_id", "person", "name", "hint", "given", "entity_id").distinct()
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The entity of every typed name without one."""
+    rows = _typed_names(spark, d).filter("entity_id is null")
+    return _linked(rows, _named_entities(spark, d)).select("src_table", "row_id", "entity_id")
+
+
+def p5_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Names that already bear an entity of the table: how many come out as that one, as another, as none."""
+    entities = _named_entities(spark, d)
+    rows = _typed_names(spark, d).join(entities.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").distinct()
+    out = rows.select("src_table", "row_id", F.col("entity_id").alias("given")).join(_linked(rows, entities).select("src_table", "row_id", "entity_id"), ["src_table", "row_id"], "left")
+    kind = F.when(F.col("entity_id").isNull(), "none").when(F.col("entity_id") == F.col("given"), "same").otherwise("other")
+    return out.groupBy("src_table", kind.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _stories(spark: SparkSession, d: str) -> neardup.NearDuplicates:
     items = table(spark, d, "content_items").filter("body_text != ''").select("id", "title", "body_text")
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("body_text"))
@@ -76,7 +115,7 @@ def p9_edited(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "benchmark"), words=16, errors=2)
 
 
-QUERIES = {"p3_found": p3_found, "p3_bulk": p3_bulk, "p7_found": p7_found, "p7_classes": p7_classes, "p1_found": p1_found, "p1_blocks": p1_blocks, "p1_clean": p1_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p9_edited": p9_edited, "p10_found": p10_found, "p10_uniform": p10_uniform}
+QUERIES = {"p5_found": p5_found, "p5_agreement": p5_agreement, "p3_found": p3_found, "p3_bulk": p3_bulk, "p7_found": p7_found, "p7_classes": p7_classes, "p1_found": p1_found, "p1_blocks": p1_blocks, "p1_clean": p1_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p9_edited": p9_edited, "p10_found": p10_found, "p10_uniform": p10_uniform}
 _LINE = r"trim(regexp_replace(regexp_replace(lower(line), '[\s\p{Z}]+', ' ', 'g'), '\p{Nd}+', '0', 'g'))"
 _P1 = f"""
 with items as (select distinct id, source_id, body_text from content_items where body_text <> '' and source_id is not null),
