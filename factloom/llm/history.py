@@ -4,10 +4,11 @@ The accepted items live in an index of tables in a folder:
 
 * ``vectors`` - the full sparse vector (set of word-run hashes) of every
   accepted text, once;
-* ``cells`` - an inverted file: a cell for each coordinate, with the vectors
-  that have it among their first ones in a fixed order, rare coordinates first;
+* ``cells`` - an inverted file by coordinate: the vectors that have it among
+  their first ones in a fixed order, rare coordinates first, with sizes and
+  sketches; coordinates are grouped so that a group is one partition's work;
 * ``keys`` - the exact keys (hash, external id, file, equal text) of accepted items;
-* ``ranks`` - the order, fixed when the index is made.
+* ``ranks`` - the order and the number of groups, fixed when the index is made.
 
 A new vector probes the cells of its coordinates in that order. After p cells
 without it, a match can share at most n - p coordinates, so its similarity is
@@ -98,8 +99,9 @@ def resolve(member: DataFrame, near: DataFrame, old: DataFrame | None = None) ->
 class AcceptedIndex:
     """The accepted items of all batches so far, in the folder ``path``."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.made = spark, path.rstrip("/"), False
+    def __init__(self, spark: SparkSession, path: str, cells: int = 8):
+        """``cells``: at least so many groups of coordinates, fixed at the first batch; more for a history that will be large."""
+        self.spark, self.path, self.cells, self.made = spark, path.rstrip("/"), cells, False
 
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
@@ -113,9 +115,13 @@ class AcceptedIndex:
         """
         items = items.filter("id is not null").select("id", "source_id", "external_id", "raw_payload", "hash_sha256")
         texts = items.select(F.col("id").alias("k"), payload_text(F.col("raw_payload")).alias("t")).filter("t is not null").dropDuplicates(["k"])
-        ranks = self._read("ranks").first().ranks if self.made else None
-        before = {"old_postings": self._read("cells"), "old_vectors": self._read("vectors")} if self.made else {}
-        near = NearDuplicates(texts, ranks=bytes(ranks) if ranks else None, **before)
+        before = {}
+        if self.made:
+            fixed = self._read("ranks").first()
+            before = {"ranks": bytes(fixed.ranks), "cell_count": fixed.cells, "old_cells": self._read("cells"), "old_vectors": self._read("vectors")}
+        near = NearDuplicates(texts, **before)
+        if not self.made:
+            near.cell_count = max(self.cells, near.partitions())
         named = near.sets.select(F.col("k").alias("id"), _group("d", F.col("set")).alias("g"))
         member = cut(exact_keys(items, blobs).unionByName(named))
         links = near.links().select(_group("d", F.col("set_a")).alias("x"), _group("d", F.col("set_b")).alias("y"))
@@ -132,11 +138,12 @@ class AcceptedIndex:
             if self.made:
                 fresh = fresh.join(self._read("vectors").select("set"), "set", "left_anti")
             fresh = cut(fresh)
-            near.vectors(near._one_each()).join(fresh, "set", "left_semi").write.mode("append").parquet(f"{self.path}/vectors")
-            near.postings().join(fresh, "set", "left_semi").write.mode("append").parquet(f"{self.path}/cells")
+            own = near.texts.join(near.classes.join(fresh, "set", "left_semi").select("k"), "k", "left_semi")
+            near.vectors(own).write.mode("append").parquet(f"{self.path}/vectors")
+            near.cells(own, near.cell_count).write.mode("append").parquet(f"{self.path}/cells")
             member.join(found.select("id"), "id", "left_anti").write.mode("append").parquet(f"{self.path}/keys")
             if not self.made:
-                self.spark.createDataFrame([(bytearray(near.ranks()),)], "ranks binary").write.parquet(f"{self.path}/ranks")
+                self.spark.createDataFrame([(bytearray(near.ranks()), near.cell_count)], "ranks binary, cells int").write.parquet(f"{self.path}/ranks")
                 self.made = True
         return found.select("kept_id", F.col("id").alias("dup_id"))
 

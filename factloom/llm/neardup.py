@@ -7,18 +7,20 @@ distance is at most (1 - t) / (1 + t) * (a + b). Nothing is approximate:
 1. Texts with the same set form one class (identical copies cost nothing more).
 2. Candidates: elements are ordered, rare ones first, by counts over all
    texts; similar sets share an element among their first ones (pigeonhole
-   over single elements). A match is only taken up if both positions leave room
-   for enough common elements.
-3. Pigeonring: the hash space is a ring of ``SEGMENTS`` segments, a set has a
-   bitmap for each. Differing bits bound the distance within a segment from
-   below. If two sets are within budget, some segment begins a chain in which
-   the first l segments differ by at most l / SEGMENTS of the budget, for
-   every l; pairs without such a chain are pruned.
-4. The rest is compared by their full sets.
-
-Classes are pre-aggregated before any shuffle on elements, hot elements stand
-last in the order, and the order needs only a table of ``BUCKETS`` counters,
-of one size whatever the corpus.
+   over single elements). Sets travel to the partitions of these elements, with
+   a sketch each; a match is taken up if sizes and positions leave room for
+   enough common elements.
+3. Pigeonring: a sketch holds, for every bit, whether an odd number of elements
+   fall on it, so bits that differ between two sketches bound the distance from
+   below. Its words are a ring of ``SEGMENTS`` segments. If two sets are within
+   budget, some segment begins a chain in which the first l segments differ by
+   at most l / SEGMENTS of the budget, for every l; pairs without such a chain
+   are pruned at the shortest length that shows it, inside the partition.
+4. The rest is compared by full sets.
+
+Classes are pre-aggregated before elements travel, hot elements stand last in
+the order, and the order needs only a table of ``BUCKETS`` counters, of one
+size whatever the corpus.
 """
 
 from __future__ import annotations
@@ -29,12 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.textarrays import code_points, mix, shingles, slices, word_hashes
+from factloom.llm.textarrays import code_points, gather, mix, shingles, slices, word_hashes
 from factloom.session import cut
 
-SEGMENTS = 16
+SEGMENTS = 8
 BUCKETS = 1 << 18
 _BLOCK = 1 << 12
+#: Pairs looked at together in a partition, and first elements a partition is meant for.
+CHUNK, PER_PARTITION = 2_000_000, 1_500_000
 #: Ids of copies are broadcast up to this many rows (8 bytes each), else joined by shuffle.
 MOST_BROADCAST = 200_000
 
@@ -55,23 +59,103 @@ def set_ids(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(out + np.diff(offsets).astype(np.uint64)).view(np.int64)
 
 
-def ring_bitmaps(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For every set a row of SEGMENTS 64-bit maps: the high bits of an element choose the segment, the next the bit."""
-    segment = (h >> np.uint64(60)).astype(np.int64)
-    bit = np.uint64(1) << ((h >> np.uint64(54)) & np.uint64(63))
-    out = np.zeros((len(offsets) - 1) * SEGMENTS, np.uint64)
-    np.bitwise_or.at(out, _owner(offsets) * SEGMENTS + segment, bit)
-    return out.reshape(-1, SEGMENTS)
+def sketches(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches of the sets, one after another, and each one's number of 64-bit words.
 
-
-def ring_chains(a: np.ndarray, b: np.ndarray, budget: np.ndarray, chain: int = SEGMENTS) -> np.ndarray:
-    """Which pairs of bitmap rows have a chain of ``chain`` segments within proportional budgets."""
-    differ = np.bitwise_count(a ^ b).astype(np.float64)
-    alive, total = np.ones(differ.shape, bool), np.zeros(differ.shape)
+    A sketch has SEGMENTS words, doubled until it has at least two bits an
+    element; halves laid over each other give the sketch of half the size.
+    """
+    n = np.maximum(np.diff(offsets), 1)
+    words = SEGMENTS << np.maximum(0, np.ceil(np.log2(n / (32 * SEGMENTS)))).astype(np.int64)
+    first = np.cumsum(words) - words
+    owner = _owner(offsets)
+    word = ((h >> np.uint64(20)) & (words[owner] - 1).astype(np.uint64)).astype(np.int64)
+    out = np.zeros(int(words.sum()), np.uint64)
+    np.bitwise_xor.at(out, first[owner] + word, np.uint64(1) << ((h >> np.uint64(54)) & np.uint64(63)))
+    return out, words
+
+
+def ring_chains(differ: np.ndarray, budget: np.ndarray, chain: int = SEGMENTS) -> np.ndarray:
+    """Which rows of segment differences have a chain of ``chain`` segments within proportional budgets."""
+    at, alive, total = np.arange(len(differ)), np.ones(differ.shape, bool), np.zeros(differ.shape)
     for length in range(1, chain + 1):
         total += np.roll(differ, 1 - length, axis=1)
         alive &= total * SEGMENTS <= length * budget[:, None] + 1e-6
-    return alive.any(axis=1)
+        some = alive.any(axis=1)
+        if not some.all():
+            at, alive, total, differ, budget = at[some], alive[some], total[some], differ[some], budget[some]
+    return at
+
+
+class Cell:
+    """The sets and first elements that met in one partition."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple] = []
+
+    @staticmethod
+    def pack(ids, n, sketch, words, element, doc, pos) -> bytes:
+        head = np.array([len(ids), len(sketch), len(element)], np.int64)
+        kinds = ((head, np.int64), (ids, np.int64), (n, np.int32), (words, np.int32), (sketch, np.uint64), (element, np.uint64), (pos, np.int32), (doc, np.uint16))
+        return b"".join(np.ascontiguousarray(x, t).tobytes() for x, t in kinds)
+
+    def add(self, blob: bytes, old: bool) -> None:
+        d, k, e = np.frombuffer(blob, np.int64, 3).tolist()
+        out, at = [], 24
+        for count, kind in ((d, np.int64), (d, np.int32), (d, np.int32), (k, np.uint64), (e, np.uint64), (e, np.int32), (e, np.uint16)):
+            out.append(np.frombuffer(blob, kind, count, at))
+            at += out[-1].nbytes
+        self.parts.append((*out, np.full(d, old)))
+
+    def pairs(self, num: int, den: int):
+        """Chunks (a, b) of set ids that share an element here and pass the bounds; two old sets are no pair."""
+        if not self.parts:
+            return
+        ids, n, words, sketch, element, pos = (np.concatenate([p[i] for p in self.parts]) for i in range(6))
+        sizes = [len(p[0]) for p in self.parts]
+        doc = np.concatenate([p[6].astype(np.int64) + first for p, first in zip(self.parts, np.cumsum([0, *sizes[:-1]]).tolist(), strict=True)])
+        old = np.concatenate([p[7] for p in self.parts])
+        first = np.cumsum(words, dtype=np.int64) - words
+        order = np.argsort(element, kind="stable")
+        element, doc, pos = element[order], doc[order], pos[order]
+        run_end = np.searchsorted(element, element, side="right") if len(element) else element
+        after = run_end - np.arange(len(element)) - 1
+        room = n[doc] - pos
+        done = 0
+        ends = np.cumsum(after)
+        while done < len(after):
+            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + CHUNK, side="right")))
+            for lo in range(0, int(after[done]) if upto == done + 1 else 1, CHUNK):  # a long run of one element goes in pieces
+                left = np.arange(done, upto)
+                count = after[done:upto] if upto > done + 1 else np.array([min(CHUNK, int(after[done]) - lo)])
+                x, y = np.repeat(left, count), gather(left + 1 + lo, count)
+                na, nb = n[doc[x]].astype(np.int64), n[doc[y]].astype(np.int64)
+                ok = (np.maximum(na, nb) * num <= np.minimum(na, nb) * den) & (np.minimum(room[x], room[y]) * (num + den) >= num * (na + nb))
+                a, b = doc[x[ok]], doc[y[ok]]
+                keep = ~(old[a] & old[b]) & (ids[a] != ids[b])
+                a, b = a[keep], b[keep]
+                size = np.minimum(words[a], words[b])
+                for w in np.unique(size).tolist():
+                    at = np.flatnonzero(size == w)
+                    p, q = a[at], b[at]
+                    differ = np.zeros((len(at), SEGMENTS), np.float32)
+                    for i in range(w):
+                        u = _folded(sketch, first, words, p, i, w) ^ _folded(sketch, first, words, q, i, w)
+                        differ[:, i % SEGMENTS] += np.bitwise_count(u)
+                    near = ring_chains(differ, ((den - num) / (den + num) * (n[p].astype(np.float64) + n[q])))
+                    if len(near):
+                        i, j = ids[p[near]], ids[q[near]]
+                        yield np.minimum(i, j), np.maximum(i, j)
+            done = upto
+
+
+def _folded(sketch: np.ndarray, first: np.ndarray, words: np.ndarray, doc: np.ndarray, i: int, w: int) -> np.ndarray:
+    """Word i of the sketches of ``doc``, folded to w words."""
+    out = sketch[first[doc] + i]
+    for step in range(w, int(words[doc].max(initial=0)), w):
+        more = np.flatnonzero(words[doc] > step + i)
+        out[more] ^= sketch[first[doc[more]] + step + i]
+    return out
 
 
 def _sum_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,22 +177,22 @@ class NearDuplicates:
     ``num / den``, from just above 0 to 1.
 
     ``ranks`` fixes the order of elements (else the counts of these texts give
-    it); with it, ``old_postings`` and ``old_vectors`` of earlier texts under
-    the same order may be given, and links to those are found as well.
+    it); with it, ``old_cells`` (made with the same ``cell_count``) and
+    ``old_vectors`` of earlier texts may be given, and links to those are found as well.
     """
 
-    def __init__(self, texts: DataFrame, size: int = 3, num: int = 1, den: int = 2, ranks: bytes | None = None, old_postings: DataFrame | None = None, old_vectors: DataFrame | None = None):
+    def __init__(self, texts: DataFrame, size: int = 3, num: int = 1, den: int = 2, ranks: bytes | None = None, cell_count: int | None = None, old_cells: DataFrame | None = None, old_vectors: DataFrame | None = None):
         if not 0 < num <= den:
             raise ValueError("a similarity above 0, at most 1")
         self.texts = texts.select(F.col("k").cast("long").alias("k"), "t").filter("k is not null and t is not null")
         self.size, self.num, self.den = size, num, den
         self.spark = texts.sparkSession
-        self._ranks, self.old_postings, self.old_vectors = ranks, old_postings, old_vectors
+        self._ranks, self.cell_count, self.old_cells, self.old_vectors = ranks, cell_count, old_cells, old_vectors
         first = cut(self._first_pass())
-        self.sets = first.filter("k is not null").select("k", "set", "n", "bits")
-        self._blocks = first.filter("k is null").select("block", "salt", F.col("bits").alias("counts"))
-        #: one row a class: its set, size, bitmaps, least key and number of members
-        self.classes = cut(self.sets.groupBy("set").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("members")))
+        self.sets = first.filter("k is not null").select("k", "set", "n")
+        self._blocks = first.filter("k is null").select("block", "salt", "counts")
+        #: one row a class: its set, size, least key and number of members
+        self.classes = cut(self.sets.groupBy("set").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.count(F.lit(1)).alias("members")))
 
     def _first_pass(self) -> DataFrame:
         size = self.size
@@ -122,21 +206,20 @@ class NearDuplicates:
                     counts += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
                     some = np.flatnonzero(np.diff(offsets))
                     if len(some):
-                        bits = [x.tobytes() for x in ring_bitmaps(h, offsets)[some]]
                         empty = pa.nulls(len(some), pa.int64())
                         n = pa.array(np.diff(offsets)[some].astype(np.int32))
                         yield pa.RecordBatch.from_arrays(
-                            [keys.take(pa.array(some + lo)), pa.array(set_ids(h, offsets)[some]), n, pa.array(bits, pa.binary()), empty, empty], names=["k", "set", "n", "bits", "block", "salt"]
+                            [keys.take(pa.array(some + lo)), pa.array(set_ids(h, offsets)[some]), n, pa.nulls(len(some), pa.binary()), empty, empty], names=["k", "set", "n", "counts", "block", "salt"]
                         )
             blocks = [i for i in range(BUCKETS // _BLOCK) if counts[i * _BLOCK : (i + 1) * _BLOCK].any()]
             if blocks:
                 none = pa.nulls(len(blocks), pa.int64())
                 data = pa.array([counts[i * _BLOCK : (i + 1) * _BLOCK].astype(np.float32).tobytes() for i in blocks], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [none, none, none.cast(pa.int32()), data, pa.array(blocks, pa.int64()), pa.array([salt] * len(blocks), pa.int64())], names=["k", "set", "n", "bits", "block", "salt"]
+                    [none, none, none.cast(pa.int32()), data, pa.array(blocks, pa.int64()), pa.array([salt] * len(blocks), pa.int64())], names=["k", "set", "n", "counts", "block", "salt"]
                 )
 
-        return self.texts.mapInArrow(each, "k long, set long, n int, bits binary, block long, salt long")
+        return self.texts.mapInArrow(each, "k long, set long, n int, counts binary, block long, salt long")
 
     def _counts(self) -> np.ndarray:
         """The counters of all texts: BUCKETS numbers, whatever the corpus."""
@@ -163,47 +246,71 @@ class NearDuplicates:
         copies = self.sets.join(self.classes.select("k"), "k", "left_anti").select("k")
         return self._only(copies, False, more) if more else self.texts
 
-    def postings(self) -> DataFrame:
-        """(element, set, n, pos): the first elements of every class, rare ones first."""
+    def partitions(self) -> int:
+        """Partitions for the elements: by their number, at least the shuffle setting."""
+        first = self.classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * self.num / self.den) + 1).alias("x")).first().x or 0
+        return max(8, int(first) // PER_PARTITION + 1)
+
+    def cells(self, texts: DataFrame, partitions: int) -> DataFrame:
+        """(cell, blob): the first elements of the texts' sets, rare ones first, with sizes and sketches, by cell."""
         shared, size, num, den = self.spark.sparkContext.broadcast(self.ranks()), self.size, self.num, self.den
 
         def each(batches):
             ranks = np.frombuffer(shared.value, np.uint8)
             for b in batches:
                 texts = b.column(1).to_pylist()
-                for lo, hi in slices(texts):
-                    h, offsets = element_sets(texts[lo:hi], size)
-                    if not len(h):
-                        continue
-                    owner, n = _owner(offsets), np.diff(offsets)
-                    order = np.lexsort((h, ranks[(h & np.uint64(BUCKETS - 1)).astype(np.int64)], owner))
-                    h = h[order]
-                    pos = np.arange(len(h)) - offsets[owner]
-                    keep = pos <= (n - -(-n * num // den))[owner]
-                    owner = owner[keep]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[keep].view(np.int64)), pa.array(set_ids(h, offsets)[owner]), pa.array(n[owner].astype(np.int32)), pa.array(pos[keep].astype(np.int32))],
-                        names=["element", "set", "n", "pos"],
-                    )
-
-        return self._one_each().mapInArrow(each, "element long, set long, n int, pos int")
+                for begin in range(0, len(texts), 50_000):
+                    part = texts[begin : begin + 50_000]
+                    for lo, hi in slices(part, 1 << 21):
+                        h, offsets = element_sets(part[lo:hi], size)
+                        if not len(h):
+                            continue
+                        ids, n, owner = set_ids(h, offsets), np.diff(offsets), _owner(offsets)
+                        sketch, words = sketches(h, offsets)
+                        order = np.lexsort((h, ranks[(h & np.uint64(BUCKETS - 1)).astype(np.int64)], owner))
+                        h = h[order]
+                        pos = np.arange(len(h)) - offsets[owner]
+                        keep = np.flatnonzero(pos <= (n - -(-n * num // den))[owner])
+                        cell = (mix(h[keep]) >> np.uint64(33)).astype(np.int64) % partitions
+                        keep = keep[np.argsort(cell, kind="stable")]
+                        bounds = np.searchsorted(np.sort(cell), np.arange(partitions + 1))
+                        begins = np.cumsum(words) - words
+                        blobs, cells = [], []
+                        for c in range(partitions):
+                            mine = keep[bounds[c] : bounds[c + 1]]
+                            if len(mine):
+                                docs, local = np.unique(owner[mine], return_inverse=True)
+                                own = sketch[gather(begins[docs], words[docs])]
+                                blobs.append(Cell.pack(ids[docs], n[docs], own, words[docs], h[mine], local, pos[mine]))
+                                cells.append(c)
+                        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(blobs, pa.binary())], names=["cell", "blob"])
+
+        return texts.mapInArrow(each, "cell int, blob binary")
 
     def candidates(self) -> DataFrame:
-        """(a, b) of different sets that share an early element; a is the smaller set."""
+        """(a, b), a < b, of different sets that share an early element and pass all bounds."""
         num, den = self.num, self.den
-        p = self.postings().repartition(F.col("element"))
-        a, b = p.toDF("element", "a", "na", "pa"), p.toDF("element", "b", "nb", "pb")
-        # common elements needed: at least num / (num + den) of a + b
-        need = f"cast(ceil((na + nb) * {num} / {num + den}D - 1e-9) as int)"
-        room = f"greatest(na, nb) * {num} <= least(na, nb) * {den} and least(na - pa, nb - pb) >= {need}"
-        out = a.join(b, "element").filter("na < nb or (na = nb and a < b)").filter(room).select("a", "b")
-        if self.old_postings is not None:
-            old = self.old_postings.select("element", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-            out = out.unionByName(a.join(old, "element").filter("a != b").filter(room).select("a", "b"))
-        return out.distinct()
+        count = self.cell_count or self.partitions()
+        rows = self.cells(self._one_each(), count).withColumn("old", F.lit(False))
+        if self.old_cells is not None:
+            rows = rows.unionByName(self.old_cells.select("cell", "blob").withColumn("old", F.lit(True)))
+        # a key for each cell that Spark's own hash sends to a partition of its own
+        keys = self.spark.range(40 * count + 100).select(F.col("id").cast("int").alias("key"), F.expr(f"pmod(hash(cast(id as int)), {count})").alias("to"))
+        chosen = {r.to: r.key for r in keys.groupBy("to").agg(F.min("key").alias("key")).collect()}
+        key = F.element_at(F.array(*[F.lit(chosen[c]) for c in range(count)]), F.col("cell") + 1)
+
+        def each(batches):
+            cell = Cell()
+            for b in batches:
+                for blob, old in zip(b.column("blob").to_pylist(), b.column("old").to_pylist(), strict=True):
+                    cell.add(blob, old)
+            for a, b in cell.pairs(num, den):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        return rows.withColumn("key", key).repartition(count, "key").select("blob", "old").mapInArrow(each, "a long, b long").distinct()
 
     def vectors(self, texts: DataFrame) -> DataFrame:
-        """(set, n, bits, elements): the full sets of texts of this collection."""
+        """(set, elements): the full sets of texts of this collection."""
         size = self.size
 
         def full(batches):
@@ -212,35 +319,18 @@ class NearDuplicates:
                 for lo, hi in slices(t):
                     h, offsets = element_sets(t[lo:hi], size)
                     some = np.flatnonzero(np.diff(offsets))
-                    bits = [x.tobytes() for x in ring_bitmaps(h, offsets)[some]]
                     lists = pa.ListArray.from_arrays(pa.array(np.append(offsets[some], len(h)), pa.int32()), pa.array(h.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(set_ids(h, offsets)[some]), pa.array(np.diff(offsets)[some].astype(np.int32)), pa.array(bits, pa.binary()), lists], names=["set", "n", "bits", "elements"]
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(set_ids(h, offsets)[some]), lists], names=["set", "elements"])
 
-        return texts.mapInArrow(full, "set long, n int, bits binary, elements array<long>")
+        return texts.mapInArrow(full, "set long, elements array<long>")
 
     def links(self) -> DataFrame:
         """(set_a, set_b, common, na, nb): all pairs of different sets of enough similarity."""
         num, den = self.num, self.den
-        c = self.classes.select("set", "n", "bits")
-        if self.old_vectors is not None:
-            c = c.unionByName(self.old_vectors.select("set", "n", "bits")).dropDuplicates(["set"])
-        x = self.candidates().join(c.toDF("a", "na", "bits_a"), "a").join(c.toDF("b", "nb", "bits_b"), "b")
-
-        def chained(batches):
-            for t in batches:
-                if not t.num_rows:
-                    continue
-                na, nb = t.column("na").to_numpy(), t.column("nb").to_numpy()
-                a, b = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64).reshape(-1, SEGMENTS) for c in ("bits_a", "bits_b"))
-                ok = ring_chains(a, b, (den - num) / (den + num) * (na.astype(np.float64) + nb))
-                yield pa.RecordBatch.from_arrays([t.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
-
-        near = cut(x.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(chained, "a long, b long"))
+        near = cut(self.candidates())
         used = near.select(F.explode(F.array("a", "b")).alias("set")).distinct()
         keys = cut(self.classes.join(used, "set").select("k"))
-        whole = self.vectors(self._only(keys, True, keys.count())).select("set", "elements")
+        whole = self.vectors(self._only(keys, True, keys.count()))
         if self.old_vectors is not None:
             whole = whole.unionByName(self.old_vectors.join(used, "set", "left_semi").select("set", "elements")).dropDuplicates(["set"])
         both = near.join(whole.toDF("a", "ea"), "a").join(whole.toDF("b", "eb"), "b")
