@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import boilerplate, bpe, history, leaks, names, neardup, uniform
+from factloom.llm import boilerplate, bpe, history, leaks, names, neardup, ocr, uniform
 from factloom.session import table
 
 
@@ -84,6 +84,16 @@ def p5_agreement(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("src_table", kind.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of scanned texts to drop, to join with the next, or with a misread character."""
+    return ocr.scan_noise(table(spark, d, "attachments"))
+
+
+def p6_text(spark: SparkSession, d: str) -> DataFrame:
+    """The scanned texts as running text."""
+    return ocr.running_text(table(spark, d, "attachments"))
+
+
 def _stories(spark: SparkSession, d: str) -> neardup.NearDuplicates:
     items = table(spark, d, "content_items").filter("body_text != ''").select("id", "title", "body_text")
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("body_text"))
@@ -115,7 +125,7 @@ def p9_edited(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "benchmark"), words=16, errors=2)
 
 
-QUERIES = {"p5_found": p5_found, "p5_agreement": p5_agreement, "p3_found": p3_found, "p3_bulk": p3_bulk, "p7_found": p7_found, "p7_classes": p7_classes, "p1_found": p1_found, "p1_blocks": p1_blocks, "p1_clean": p1_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p9_edited": p9_edited, "p10_found": p10_found, "p10_uniform": p10_uniform}
+QUERIES = {"p6_found": p6_found, "p6_text": p6_text, "p5_found": p5_found, "p5_agreement": p5_agreement, "p3_found": p3_found, "p3_bulk": p3_bulk, "p7_found": p7_found, "p7_classes": p7_classes, "p1_found": p1_found, "p1_blocks": p1_blocks, "p1_clean": p1_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p9_edited": p9_edited, "p10_found": p10_found, "p10_uniform": p10_uniform}
 _LINE = r"trim(regexp_replace(regexp_replace(lower(line), '[\s\p{Z}]+', ' ', 'g'), '\p{Nd}+', '0', 'g'))"
 _P1 = f"""
 with items as (select distinct id, source_id, body_text from content_items where body_text <> '' and source_id is not null),
