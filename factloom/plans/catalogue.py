@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.plans import core_problems
+from factloom.plans import core_problems, reference
 
-MODULES = (core_problems,)
+MODULES = (core_problems, reference)
 
 
 def queries() -> dict:
