@@ -95,9 +95,9 @@ _TOKEN = re.compile(r"[^\W_]+(?:[-'][^\W_]+)*\.?")
 
 def tokens(name: str | None, person: bool) -> list[str]:
     """The tokens of a spelling; one that ends in a full stop is an abbreviation, one of a single letter an initial."""
-    text = fold(name or "").replace(" ", " ")
+    text = " ".join(fold(name or "").split())
     if person:
-        text = re.sub(r"\([^)]*\)", " ", text)
+        text = re.sub(r"\s*[-–—‐‑]\s*", "-", re.sub(r"\([^)]*\)", " ", text))
     else:
         text = re.sub(r"[«»“”„\"'()]", " ", text)
         for pattern, short in _forms():
@@ -149,6 +149,9 @@ def against(token: str, other: str) -> float:
         return 0.95 if target.startswith(bare) else 0.0
     if token.endswith("."):
         return 0.95 if target.startswith(bare) else 0.0
+    if "-" in bare and len(bare) <= 6 and "-" not in target:  # a contraction: beginning and end
+        begin, _, end = bare.partition("-")
+        return 0.9 if target.startswith(begin) and target.endswith(end) else 0.0
     sim = same_token(bare, target)
     if not sim:
         for short in NICKNAMES.get(other, "").split():
@@ -157,6 +160,22 @@ def against(token: str, other: str) -> float:
     return sim
 
 
+def _surname(typed: list[str], own: str) -> tuple[list[int], float]:
+    """Which tokens are the surname, and how similar: whole, its two parts apart, or one part of two."""
+    found: list[tuple[float, list[int]]] = []
+    parts = own.split("-")
+    for i, t in enumerate(typed):
+        if len(t.rstrip(".")) < 2 or t.endswith("."):
+            continue
+        found.append((against(t, own), [i]))
+        if len(parts) == 2:
+            found.append((0.9 * max(against(t, p) for p in parts), [i]))
+            if i + 1 < len(typed) and (s := min(against(t, parts[0]), against(typed[i + 1], parts[1]))) and len(typed[i + 1].rstrip(".")) > 1:
+                found.append((0.99 * s, [i, i + 1]))
+    best = max(found, default=(0.0, []), key=lambda x: x[0])
+    return best[1], best[0]
+
+
 def score(typed: list[str], own: list[str], weights: list[float], person: bool) -> float:
     """Soft weighted similarity of a spelling to an entity, from 0 to 1; 0 where something rules it out."""
     if not typed or not own:
@@ -168,11 +187,11 @@ def score(typed: list[str], own: list[str], weights: list[float], person: bool)
     if sorted(t for t in typed if t.isdigit()) != sorted(t for t in own if t.isdigit()):
         return 0.0
     if person:
-        surname = max(range(len(typed)), key=lambda i: (len(typed[i].rstrip(".")) > 1) * against(typed[i], own[0]))
-        if len(typed[surname].rstrip(".")) < 2 or typed[surname].endswith(".") or len(typed) > len(own):
+        at, s = _surname(typed, own[0])
+        rest = [t for i, t in enumerate(typed) if i not in at]
+        if not s or len(rest) >= len(own):
             return 0.0
-        rest = typed[:surname] + typed[surname + 1 :]
-        pairs = [(0, against(typed[surname], own[0]))] + [(i, against(t, own[i])) for i, t in enumerate(rest, 1)]
+        pairs = [(0, s)] + [(i, against(t, own[i])) for i, t in enumerate(rest, 1)]
         if any(s == 0 for _, s in pairs):
             return 0.0
         return sum(weights[i] * s for i, s in pairs) / sum(weights[i] for i, _ in pairs)
@@ -253,8 +272,10 @@ def link(names: DataFrame, entities: DataFrame) -> DataFrame:
     names = cut(names.withColumn("key", F.xxhash64("person", "name", F.coalesce("hint", F.lit("\u0000")))))
     n = cut(_parse(names).filter("size(tokens) > 0"))
     e = cut(_parse(entities.select(F.col("id").alias("key"), "person", "name", "hint").filter("key is not null and name is not null and person is not null").dropDuplicates(["key"])).filter("size(tokens) > 0"))
+    apart = F.flatten(F.transform(F.filter("tokens", lambda t: t.contains("-")), lambda t: F.split(t, "-")))
+    e = e.withColumn("index", F.array_distinct(F.when(F.col("person"), F.concat("tokens", apart)).otherwise(F.col("tokens"))))
     count = e.groupBy("person").agg(F.count(F.lit(1)).alias("all"))
-    df = e.select("person", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("person", "token").agg(F.count(F.lit(1)).alias("df"))
+    df = e.select("person", F.explode("index").alias("token")).groupBy("person", "token").agg(F.count(F.lit(1)).alias("df"))
     weight = cut(df.join(count, "person").select("person", "token", F.log1p(F.col("all") / F.col("df")).alias("w")))
 
     def written(batches):
@@ -277,7 +298,7 @@ def link(names: DataFrame, entities: DataFrame) -> DataFrame:
     # a token may be left out only if those behind it, all met, stay below the threshold
     needed = F.filter("t", lambda x, i: (total - ahead(i)) >= F.lit(THRESHOLD * 0.75) * total)
     probe = ranked.select("key", F.explode(needed).alias("t")).select("key", F.col("t.typed").alias("typed"))
-    tokens_of = e.select(F.col("key").alias("id"), "person", F.explode(F.array_distinct("tokens")).alias("own"))
+    tokens_of = e.select(F.col("key").alias("id"), "person", F.explode("index").alias("own"))
     asked = probe.join(n.select("key", "person"), "key").join(pair, "typed").join(tokens_of, ["person", "own"]).select("key", "id").distinct()
     weights = e.select("key", "person", F.posexplode("tokens").alias("i", "token")).join(weight, ["person", "token"], "left")
     weights = weights.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", F.coalesce("w", F.lit(most)).alias("w")))), lambda x: x["w"]).alias("weights"))
