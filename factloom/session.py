@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors of a cluster whose Python path does not have it."""
+    root = Path(__file__).resolve().parent.parent
+    app = spark.sparkContext.applicationId
+    if app in _shipped or spark.sparkContext.master.startswith("local[") or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='factloom-')}/factloom", "zip", root, "factloom")
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of the directory ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
