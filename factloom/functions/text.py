@@ -5,11 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[\p{L}\p{N}_]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility normalisation, which Spark lacks."""
     return s.str.normalize("NFKC")

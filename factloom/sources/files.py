@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -62,7 +63,7 @@ class _Text(HTMLParser):
             self.parts.append(data)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_text(s: pd.Series) -> pd.Series:
     """Text of HTML without tags, scripts and styles, white space collapsed; null stays null."""
 
