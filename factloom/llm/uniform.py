@@ -87,8 +87,11 @@ def uniform_points(cp: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     n = length[cp].astype(np.int64)
     joiner = np.flatnonzero(cp == ZERO_WIDTH_JOINER)
     if len(joiner):  # between two pictures a joiner makes another picture: it is seen
-        inner = joiner[(joiner > 1) & (joiner + 1 < len(cp))]
-        before = np.where((cp[inner - 1] >= 0xFE00) & (cp[inner - 1] < 0xFE10), cp[inner - 2], cp[inner - 1])
+        text = np.searchsorted(offsets, joiner, side="right")
+        inner = joiner[(joiner > offsets[text - 1]) & (joiner + 1 < offsets[text])]
+        before = cp[inner - 1]
+        picked = (before >= 0xFE00) & (before < 0xFE10) & (inner > 1)
+        before = np.where(picked, cp[np.maximum(inner - 2, 0)], before)
         n[inner[symbol[before] & symbol[cp[inner + 1]]]] = 1
     if (n == 1).all():
         out = single[cp]
