@@ -79,3 +79,38 @@ def best_bridge(pairs: DataFrame, bridges: DataFrame, group: str, member: str, c
     met = pairs.join(x, "a").join(y, ["b", group])
     best = met.groupBy("a", "b").agg(F.min(F.struct((F.col("ca") + F.col("cb")).alias("cost"), F.col(group).alias("via"))).alias("m"))
     return best.select("a", "b", "m.via", "m.cost")
+
+
+def communities(edges: DataFrame, a: str = "a", b: str = "b", most_nodes: int = 15_000) -> DataFrame:
+    """(id, community) by greedy modularity: the pair of groups whose union gains most is joined, while any gains.
+
+    The asked semantics hold up to ``most_nodes`` vertices, which is checked
+    before anything is collected; beyond, each connected component is one community.
+    A community is named by its least id.
+    """
+    e = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).dropna().filter("u != v").distinct()
+    e = cut(e)
+    if e.select(F.explode(F.array("u", "v")).alias("id")).distinct().count() > most_nodes or e.count() > 20 * most_nodes:
+        return components(e, "u", "v").withColumnRenamed("component", "community")
+    links: dict[int, dict[int, float]] = {}
+    m = 0
+    for r in e.toLocalIterator():
+        links.setdefault(r.u, {})[r.v] = 1.0
+        links.setdefault(r.v, {})[r.u] = 1.0
+        m += 1
+    degree = {i: float(len(x)) for i, x in links.items()}
+    member = {i: [i] for i in links}
+    while m:
+        gains = ((w / m - degree[i] * degree[j] / (2 * m * m), -i, -j) for i, x in links.items() for j, w in x.items() if i < j)
+        gain, i, j = max(gains, default=(0.0, 0, 0))
+        if gain <= 1e-12:
+            break
+        i, j = -i, -j
+        for k, w in links.pop(j).items():
+            links[k].pop(j)
+            if k != i:
+                links[i][k] = links[k][i] = links[i].get(k, 0.0) + w
+        degree[i] += degree.pop(j)
+        member[i] += member.pop(j)
+    rows = [(i, min(x)) for x in member.values() for i in x]
+    return edges.sparkSession.createDataFrame(rows, "id long, community long")

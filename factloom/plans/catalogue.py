@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.plans import core_problems, reference
+from factloom.plans import core_problems, extraction, reference
 
-MODULES = (core_problems, reference)
+MODULES = (core_problems, reference, extraction)
 
 
 def queries() -> dict:
