@@ -121,11 +121,14 @@ def round_robin(df: DataFrame, group: str, order: Sequence[Column], limit: int)
     return r.filter(F.col("turn") <= limit).orderBy("turn", "_g").limit(limit).drop("_g")
 
 
-def quota_sample(df: DataFrame, bucket: str, key: str, quotas: dict[str, int], total: int, seed: str) -> DataFrame:
-    """Quotas a bucket by a stable rank (hash of seed and key), then filled up from the rest by the same rank."""
+def quota_sample(df: DataFrame, bucket: str, key: str, quotas: dict[str, int] | int, total: int, seed: str) -> DataFrame:
+    """Quotas a bucket (one number for all, or by name) by a stable rank (hash of seed and key), then filled up from the rest by the same rank."""
     r = df.withColumn("_h", F.sha2(F.concat(F.lit(seed + ":"), F.col(key).cast("string")), 256))
     w = Window.partitionBy(bucket).orderBy("_h", key)
-    limit = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv]), F.col(bucket)), F.lit(0)) if quotas else F.lit(0)
+    if isinstance(quotas, int):
+        limit = F.lit(quotas)
+    else:
+        limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv]), F.col(bucket)), F.lit(0)) if quotas else F.lit(0)
     r = r.withColumn("_n", F.row_number().over(w)).withColumn("_in", F.col("_n") <= limit)
     return r.orderBy(F.col("_in").desc(), "_h", key).limit(total).drop("_h", "_n").withColumnRenamed("_in", "by_quota")
 

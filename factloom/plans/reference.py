@@ -142,14 +142,16 @@ def keyed_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with m as (select case when entity_id % 10 = 9 then entity_id - 1 else entity_id end as e, entity_id % 10 = 9 as moved, contract_id as c, 0.9 as conf from contract_parties where entity_id is not null and contract_id is not null),
+with g as (select id, min(id) over (partition by description) as t from entities where entity_type = 'organization' and description is not null),
+m as (select coalesce(g.t, p.entity_id) as e, coalesce(g.t <> p.entity_id, false) as moved, p.contract_id as c, 0.9 as conf from contract_parties p left join g on g.id = p.entity_id where p.entity_id is not null and p.contract_id is not null),
 r as (select e, c, case when moved then 0.85 else conf end as conf, row_number() over (partition by e, c order by moved, case when moved then 0.85 else conf end desc) as n from m)
 select e as entity_id, c as content_item_id, round(conf, 4)::double as confidence from r where n = 1""")
 def merge_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Mentions of every tenth entity moved to the one before it."""
+    """Mentions of organisations moved to the first one of the same description."""
     p = table(spark, d, "contract_parties").filter("entity_id is not null and contract_id is not null")
     m = p.select("entity_id", F.col("contract_id").alias("content_item_id"), F.lit(0.9).alias("confidence"))
-    merges = p.filter("entity_id % 10 = 9").select(F.col("entity_id").alias("from_id"), (F.col("entity_id") - 1).alias("to_id")).distinct()
+    o = table(spark, d, "entities").filter("entity_type = 'organization' and description is not null").select("id", "description")
+    merges = o.join(o.groupBy("description").agg(F.min("id").alias("to_id")), "description").filter("id != to_id").select(F.col("id").alias("from_id"), "to_id")
     return relational.merge_entities(m, merges).withColumn("confidence", F.round("confidence", 4))
 
 
@@ -326,8 +328,7 @@ select doc_id, by_quota from q order by by_quota desc, h, doc_id limit 100""")
 def quota_sample(spark: SparkSession, d: str) -> DataFrame:
     """Three documents a source by a stable hash, filled up to a hundred."""
     docs = table(spark, d, "documents").select("doc_id", "source")
-    names = {r.source: 3 for r in docs.select("source").distinct().limit(10_000).collect() if r.source}
-    return relational.quota_sample(docs, "source", "doc_id", names, 100, "s1").select("doc_id", "by_quota")
+    return relational.quota_sample(docs, "source", "doc_id", 3, 100, "s1").select("doc_id", "by_quota")
 
 
 @query("""
