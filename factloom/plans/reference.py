@@ -44,8 +44,8 @@ def _supplier_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{_PAIRS}
 select a, b, count(distinct o_orderkey) as support_items, count(distinct source) as support_sources, count(distinct domain) as support_domains,
- case when datediff('day', min(seen)::date, max(seen)::date) <= 30 then 1.0 when datediff('day', min(seen)::date, max(seen)::date) <= 90 then 0.85
-      when datediff('day', min(seen)::date, max(seen)::date) <= 180 then 0.7 when datediff('day', min(seen)::date, max(seen)::date) <= 365 then 0.5 else 0.25 end as spread
+ (case when datediff('day', min(seen)::date, max(seen)::date) <= 30 then 1.0 when datediff('day', min(seen)::date, max(seen)::date) <= 90 then 0.85
+      when datediff('day', min(seen)::date, max(seen)::date) <= 180 then 0.7 when datediff('day', min(seen)::date, max(seen)::date) <= 365 then 0.5 else 0.25 end)::double as spread
 from p group by a, b having count(distinct o_orderkey) >= 3 and count(distinct source) >= 2 and count(distinct domain) >= 2""")
 def co_mention_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Pairs that share enough items, sources and domains, with their support."""
@@ -487,9 +487,9 @@ def derived_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-select 'no_body' as "check", (count(*) filter (where body_text is null or body_text = '') / count(*))::double as value, 0.2 as "limit", (count(*) filter (where body_text is null or body_text = '') / count(*)) <= 0.2 as ok from content_items
-union all select 'no_title', (count(*) filter (where title is null) / count(*))::double, 0.02, (count(*) filter (where title is null) / count(*)) <= 0.02 from content_items
-union all select 'sources', count(distinct source_id)::double, 30.0, count(distinct source_id) <= 30 from content_items""")
+select 'no_body' as "check", (count(*) filter (where body_text is null or body_text = '') / count(*))::double as value, 0.2::double as "limit", (count(*) filter (where body_text is null or body_text = '') / count(*)) <= 0.2 as ok from content_items
+union all select 'no_title', (count(*) filter (where title is null) / count(*))::double, 0.02::double, (count(*) filter (where title is null) / count(*)) <= 0.02 from content_items
+union all select 'sources', count(distinct source_id)::double, 30.0::double, count(distinct source_id) <= 30 from content_items""")
 def quality_gate(spark: SparkSession, d: str) -> DataFrame:
     share = lambda c: F.count_if(c) / F.count(F.lit(1))
     body = F.col("body_text")
