@@ -61,7 +61,7 @@ def negation_window(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 with o as (select c.source_id, c.id, coalesce(c.collected_at, '') as seen, c.content_type = 'bill_note' as official from content_items c where c.source_id is not null),
 r as (select *, row_number() over (partition by source_id order by seen, id) - 1 as sort_order from o), f as (select *, min(case when not official then sort_order end) over (partition by source_id) as first from r)
-select source_id, id, sort_order, case when official then 'official_doc' when sort_order = first then 'origin' else 'update' end as role from f""")
+select source_id, id, sort_order::int as sort_order, case when official then 'official_doc' when sort_order = first then 'origin' else 'update' end as role from f""")
 def event_roles(spark: SparkSession, d: str) -> DataFrame:
     """Every source's items in order of their collection text, with roles."""
     c = table(spark, d, "content_items").filter("source_id is not null").select("source_id", "id", F.coalesce("collected_at", F.lit("")).alias("at"), F.coalesce(F.col("content_type") == "bill_note", F.lit(False)).alias("official"))
@@ -106,7 +106,7 @@ def or_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-select source_id, lower(regexp_extract(url, '^[a-z]+://([^/]+)', 1)) as domain, min(title) as least_title, max(length(coalesce(body_text, ''))) as longest, approx from
+select source_id, lower(regexp_extract(url, '^[a-z]+://([^/]+)', 1)) as domain, min(title) as least_title, max(length(coalesce(body_text, '')))::int as longest, approx from
  (select source_id, url, title, body_text, 0 as approx from content_items where url is not null and source_id is not null) group by source_id, lower(regexp_extract(url, '^[a-z]+://([^/]+)', 1)), approx""")
 def domain_profile(spark: SparkSession, d: str) -> DataFrame:
     """Per source and host: least title and longest body."""

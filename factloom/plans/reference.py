@@ -282,7 +282,7 @@ def status_bands(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 with s as (select a.id, b.id as evidence_id, a.source_id = b.source_id as same, row_number() over (partition by a.id order by b.published_at desc nulls last, b.id) as rank
  from contracts k join content_items a on a.id = k.content_item_id join content_items b on b.source_id = a.source_id and b.id <> a.id and b.content_type <> a.content_type)
-select id, evidence_id, rank from s where rank <= 5""")
+select id, evidence_id, rank::int as rank from s where rank <= 5""")
 def evidence_top5(spark: SparkSession, d: str) -> DataFrame:
     """For the item of each contract, five items of the same source and another kind, newest text of time first."""
     c = table(spark, d, "content_items").select("id", "source_id", "content_type", "published_at")
@@ -294,7 +294,7 @@ def evidence_top5(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) - 1 as sort_order, first_value(event_id) over (partition by user_id order by ts, event_id) as origin from events""")
+select user_id, event_id, (row_number() over (partition by user_id order by ts, event_id) - 1)::int as sort_order, first_value(event_id) over (partition by user_id order by ts, event_id) as origin from events""")
 def event_timeline(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -315,7 +315,7 @@ def sliding_contradictions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 with r as (select doc_id, coalesce(lang, 'unknown') as lang, row_number() over (partition by coalesce(lang, 'unknown') order by doc_id) as turn from documents)
-select doc_id, lang, turn from r order by turn, lang limit 60""")
+select doc_id, lang, turn::int as turn from r order by r.turn, lang limit 60""")
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     """A sample of sixty documents that takes languages in turn."""
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("unknown")).alias("lang"))
@@ -408,7 +408,7 @@ idf as (select term, ln((1 + n) / (1 + count(*))) + 1 as idf, count(*) as df fro
 x as (select id, term, tf * idf as x, df from tf join idf using (term)), l as (select id, sqrt(sum(x * x)) as l from x group by 1), w as (select x.id, term, x / l as w from x join l using (id) where df > 1),
 s as (select a.id, b.id as neighbour, round(sum(a.w * b.w), 4) as score from w a join w b on a.term = b.term and a.id <> b.id group by 1, 2),
 r as (select *, row_number() over (partition by id order by score desc, neighbour desc) as rank from s where score >= 0.22)
-select id, neighbour, score, rank from r where rank <= 5""")
+select id, neighbour, score, rank::int as rank from r where rank <= 5""")
 def tfidf_neighbors(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest test passages of each, by TF-IDF."""
     return similarity.neighbours(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"))
