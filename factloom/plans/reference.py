@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import scores, text
-from factloom.operators import graph, quality, relational, search, similarity
+from factloom.operators import blocks, graph, quality, relational, search, similarity
 from factloom.session import table
 
 QUERIES: dict = {}
@@ -414,6 +414,34 @@ def tfidf_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return similarity.neighbours(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"))
 
 
+def _near_sql(kind: str, docs: str, asked: str, least: float) -> str:
+    return rf"""
+select '{kind}' as kind, id, neighbour, score, rank::int as rank from (
+with t0 as ({docs}), d as (select id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}') as w from t0), n as (select count(*) as n from t0),
+t as (select id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i : w[i] || ' ' || w[i + 1]))) as term from d), tf as (select id, term, count(*) as tf from t group by 1, 2),
+idf as (select term, ln((1 + n) / (1 + count(*))) + 1 as idf from tf, n group by term, n),
+x as (select id, term, tf * idf as x from tf join idf using (term)), l as (select id, sqrt(sum(x * x)) as l from x group by 1), w as (select x.id, term, x / l as w from x join l using (id)),
+s as (select a.id, b.id as neighbour, round(sum(a.w * b.w), 4) as score from w a join w b on a.term = b.term and a.id <> b.id where {asked} group by 1, 2)
+select *, row_number() over (partition by id order by score desc, neighbour desc) as rank from s where score >= {least}) where rank <= 5"""
+
+
+_ITEM_TEXT = "select id, coalesce(title, '') || ' ' || coalesce(body_text, '') as text from content_items"
+_ENTITY_TEXT = "select id, coalesce(canonical_name, '') || ' ' || coalesce(description, '') as text from entities"
+
+
+def _joined(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select("id", F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns]).alias("text"))
+
+
+@query(_near_sql("content", _ITEM_TEXT, "a.id % 20 = 0", 0.22) + " union all " + _near_sql("entity", _ENTITY_TEXT, "true", 0.4))
+def tfidf_neighbors_items(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest content items of every twentieth among all, and the five nearest entities of each, by TF-IDF."""
+    items = _joined(table(spark, d, "content_items"), "title", "body_text")
+    near = blocks.neighbours(items, items.filter("id % 20 = 0").select("id")).select(F.lit("content").alias("kind"), "*")
+    entities = blocks.neighbours(_joined(table(spark, d, "entities"), "canonical_name", "description"), threshold=0.4)
+    return near.unionByName(entities.select(F.lit("entity").alias("kind"), "*"))
+
+
 @query(r"""
 with d as (select id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(body_text, '')), '[\p{L}\p{N}_]+') as w from content_items), s as (select count(*) as n, avg(len(w)) as a from d where len(w) > 0),
 p as (select id, len(w) as l, term, count(*) as tf from (select id, w, unnest(w) as term from d) group by 1, 2, 3), h as (select * from p where term in ('ремонте', 'больниц')), f as (select term, count(*) as df from h group by 1),
