@@ -107,11 +107,13 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataF
     return top_per(df, keys, order, 1).drop("rank")
 
 
-def following(df: DataFrame, by: str, order: Sequence[Column], reach: int, limit: int) -> DataFrame:
-    """Each of a group's first ``limit`` rows with its next ``reach`` rows, which are named ``n_...``."""
-    r = top_per(df, [by], order, limit)
-    n = r.select(*[F.col(c).alias(f"n_{c}") for c in r.columns])
-    return r.join(n, (F.col(by) == F.col(f"n_{by}")) & F.col("n_rank").between(F.col("rank") + 1, F.col("rank") + reach))
+def following(df: DataFrame, by: str, order: Sequence[Column], reach: int, limit: int | None = None) -> DataFrame:
+    """Each row of a group (of its first ``limit``, if given) with its next ``reach`` rows, which are named ``n_...``."""
+    df, w = df.filter(F.col(by).isNotNull()), Window.partitionBy(by).orderBy(*order)
+    r = df.withColumn("rank", F.row_number().over(w)) if limit is None else top_per(df, [by], order, limit)
+    # a window, not a join on ranks: that meets all pairs of a group
+    n = F.collect_list(F.struct(*[F.col(c).alias(f"n_{c}") for c in r.columns])).over(Window.partitionBy(by).orderBy("rank").rowsBetween(1, reach))
+    return r.withColumn("_n", n).select(*r.columns, F.explode("_n").alias("_n")).select(*r.columns, "_n.*")
 
 
 def round_robin(df: DataFrame, group: str, order: Sequence[Column], limit: int) -> DataFrame:

@@ -313,6 +313,17 @@ def sliding_contradictions(spark: SparkSession, d: str) -> DataFrame:
     return x.filter(bad).select("user_id", "event_id", "n_event_id")
 
 
+@query("""
+with r as (select user_id, event_id, event_type, row_number() over (partition by user_id order by ts desc, event_id) as rank from events)
+select a.user_id, a.event_id, b.event_id as n_event_id from r a join r b on a.user_id = b.user_id and b.rank between a.rank + 1 and a.rank + 9 where a.event_type = 'refund' and b.event_type = 'purchase' or a.event_type = 'error' and b.event_type = 'click'""")
+def sliding_contradictions_all(spark: SparkSession, d: str) -> DataFrame:
+    """Each of a user's events against the next nine, where their kinds contradict."""
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", "ts")
+    x = relational.following(e, "user_id", [F.col("ts").desc(), F.col("event_id")], 9)
+    bad = "event_type = 'refund' and n_event_type = 'purchase' or event_type = 'error' and n_event_type = 'click'"
+    return x.filter(bad).select("user_id", "event_id", "n_event_id")
+
+
 @query("""
 with r as (select doc_id, coalesce(lang, 'unknown') as lang, row_number() over (partition by coalesce(lang, 'unknown') order by doc_id) as turn from documents)
 select doc_id, lang, turn::int as turn from r order by r.turn, lang limit 60""")
