@@ -187,3 +187,69 @@ def neighbours(docs: DataFrame, queries: DataFrame | None = None, threshold: flo
         return spark.createDataFrame([], "id long, neighbour long, score double, rank int")
     out = out.withColumn("score", F.round("score", 4)).filter(F.col("score") >= threshold)
     return top_per(out, ["id"], [F.col("score").desc(), F.col("neighbour").desc()], k)
+
+
+def searches(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75, most_queries: int = PASS) -> DataFrame:
+    """(query_id, id, score, rank): for each of ``queries`` (query_id, text) the ``k`` best of ``docs`` (id, text) that have all its words.
+
+    Scores and ties as in ``search.bm25``. A query meets the documents that have its rarest word; there its other words are looked up.
+    """
+    spark = docs.sparkSession
+    none = spark.createDataFrame([], "query_id long, id long, score double, rank int")
+    w = _words(docs.filter("text is not null").select("id", "text"), 1)
+    stats = w.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("a")).first()
+    if not stats.n:
+        return none
+    avg_len = stats.a
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            row, term, _ = _counted(x["w"], False)
+            yield pa.RecordBatch.from_pydict({"id": x["id"].to_numpy()[row], "term": term})
+
+    asked = cut(_words(queries.filter("text is not null").select(F.col("query_id").alias("id"), "text"), 1).select("id", "w").mapInArrow(split, "id long, term long"))
+    df = _frequencies(w, False).join(asked.select("term").distinct(), "term", "left_semi")
+    t = asked.join(df, "term", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("t"), F.count_if(F.col("df").isNull()).alias("missing"))
+    whole = cut(t.filter("missing = 0").select("id", F.col("t.term").alias("terms"), F.col("t.df").alias("df")))  # a word that no document has ends its query
+    out = None
+    for t in _passes(whole, most_queries):
+        lists = t["terms"].combine_chunks()
+        freq = t["df"].combine_chunks().flatten().to_numpy()
+        idf = np.log((stats.n - freq + 0.5) / (freq + 0.5) + 1)
+        shared = spark.sparkContext.broadcast((t["id"].to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy(), idf))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, begin, q_term, idf = shared.value
+            known, q_place = np.unique(q_term, return_inverse=True)
+            rarest, size = q_place[begin[:-1]], np.diff(begin)
+            by_rarest = np.argsort(rarest, kind="stable")
+            start = np.searchsorted(rarest[by_rarest], np.arange(len(known) + 1))
+            n_queries = np.diff(start)
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROWS):
+                    x = whole.slice(at, ROWS)
+                    row, term, tf = _counted(x["w"], False)
+                    length = np.bincount(row, tf, x.num_rows)
+                    i, there = _find(known, term)
+                    row, i, tf = row[there], i[there], tf[there]
+                    if not len(row):
+                        continue
+                    order = np.lexsort((i, row))
+                    row, i, tf = row[order], i[order], tf[order]
+                    q = by_rarest[_spans(start[i], n_queries[i])]
+                    r = np.repeat(row, n_queries[i])
+                    if not len(q):
+                        continue
+                    place = _spans(begin[q], size[q])
+                    key, there = _find(row * len(known) + i, np.repeat(r, size[q]) * len(known) + q_place[place])
+                    f = np.where(there, tf[key], 0)
+                    part = idf[place] * f * (k1 + 1) / (f + k1 * (1 - b + b * length[np.repeat(r, size[q])] / avg_len))
+                    edge = np.r_[0, np.cumsum(size[q])[:-1]]
+                    full = np.logical_and.reduceat(there, edge)
+                    yield pa.RecordBatch.from_pydict({"query_id": ids[q[full]], "id": x["id"].to_numpy()[r[full]], "score": np.add.reduceat(part, edge)[full]})
+
+        one = w.mapInArrow(run, "query_id long, id long, score double")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return none
+    return top_per(out.withColumn("score", F.round("score", 6)), ["query_id"], [F.col("score").desc(), F.col("id")], k)

@@ -464,6 +464,20 @@ def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25(c.select("id", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("body_text", F.lit(""))).alias("text")), "больниц ремонте")
 
 
+@query(r"""
+with d as (select id, title, body_text, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(body_text, '')), '[\p{L}\p{N}_]+') as w from content_items), s as (select count(*) as n, avg(len(w)) as a from d where len(w) > 0),
+p as (select id, len(w) as l, term, count(*) as tf from (select id, w, unnest(w) as term from d) group by 1, 2, 3), f as (select term, count(*) as df from p group by 1),
+q as (select distinct id as query_id, unnest(regexp_extract_all(lower(case when regexp_matches(coalesce(title, ''), '[\p{L}\p{N}_]') then title else body_text end), '[\p{L}\p{N}_]+')) as term from d where id % 20 = 0), c as (select query_id, count(*) as terms from q group by 1),
+x as (select query_id, id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))), 6) as score, count(*) as c from q join p using (term) join f using (term), s group by 1, 2),
+r as (select x.query_id, id, score, row_number() over (partition by x.query_id order by score desc, id) as rank from x join c on c.query_id = x.query_id and c.terms = x.c)
+select query_id, id, score, rank::int as rank from r where rank <= 20""")
+def bm25_search_all(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty best items for the title (where it has no word, the body) of every twentieth item."""
+    c = table(spark, d, "content_items")
+    asked = c.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.when(F.coalesce("title", F.lit("")).rlike(r"[\p{L}\p{N}_]"), F.col("title")).otherwise(F.col("body_text")).alias("text"))
+    return blocks.searches(_joined(c, "title", "body_text"), asked).select("query_id", "id", "score", "rank")
+
+
 @query("select id, source_id, content_type from content_items where content_type = 'article' and status = 'archived' and lower(title) like '%район%' order by id limit 50 offset 5")
 def filtered_page(spark: SparkSession, d: str) -> DataFrame:
     """A page of items under three conditions."""
