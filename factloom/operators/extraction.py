@@ -12,15 +12,22 @@ from pyspark.sql import types as T
 
 
 def typed_sentences(docs: DataFrame, patterns: Sequence[tuple[str, str]], least: int = 25, most: int = 700) -> DataFrame:
-    """(id, kind, sentence): sentences of (id, text) that a kind's pattern matches, each once a kind and text.
+    """(id, kind, sentence): sentences of (id, text) that a kind's pattern matches, each once a kind and whole text.
 
-    Longer sentences are cut at ``most`` characters (the claim's defined form); null and empty texts give nothing.
+    Of sentences longer than ``most`` characters 260 before to 360 after the first match are shown; null and empty texts give nothing.
     """
     s = docs.select("id", F.explode(F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])\s+|\n+")).alias("s"))
     s = s.select("id", F.trim(F.regexp_replace("s", r"\s+", " ")).alias("s")).filter(F.length("s") >= least)
-    kinds = F.array_compact(F.array(*[F.when(F.col("s").rlike(p), k) for k, p in patterns]))
-    x = s.select("id", F.explode(kinds).alias("kind"), F.substring("s", 1, most).alias("sentence"))
-    return x.withColumn("_l", F.lower("sentence")).dropDuplicates(["id", "kind", "_l"]).drop("_l")
+
+    def shown(p: str) -> Column:
+        before = F.length(F.get(F.split("s", p, 2), 0))
+        start = F.greatest(F.lit(0), before - 260)
+        part = F.trim(F.substr("s", start + 1, before + F.length(F.regexp_substr("s", F.lit(p))) + 360 - start))
+        return F.when(F.length("s") > most, part).otherwise(F.col("s"))
+
+    kinds = F.array_compact(F.array(*[F.when(F.col("s").rlike(p), F.struct(F.lit(k).alias("kind"), shown(p).alias("sentence"))) for k, p in patterns]))
+    x = s.select("id", F.lower("s").alias("_l"), F.inline(kinds))
+    return x.dropDuplicates(["id", "kind", "_l"]).drop("_l")
 
 
 def identifiers(docs: DataFrame, patterns: Sequence[tuple[str, str]]) -> DataFrame:
