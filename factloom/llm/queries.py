@@ -25,8 +25,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """The repeated blocks of each source by their number of lines."""
-    return boilerplate.Blocks(table(spark, d, "content_items")).report().drop("block")
+    """The repeated blocks of each source, of every length: those that are not always followed by one same line."""
+    return boilerplate.Blocks(table(spark, d, "content_items")).report()
 
 
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -127,13 +127,23 @@ def p9_edited(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p6_found": p6_found, "p6_text": p6_text, "p5_found": p5_found, "p5_agreement": p5_agreement, "p3_found": p3_found, "p3_bulk": p3_bulk, "p7_found": p7_found, "p7_classes": p7_classes, "p1_found": p1_found, "p1_blocks": p1_blocks, "p1_clean": p1_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p9_edited": p9_edited, "p10_found": p10_found, "p10_uniform": p10_uniform}
 _LINE = r"trim(regexp_replace(regexp_replace(lower(line), '[\s\p{Z}]+', ' ', 'g'), '\p{Nd}+', '0', 'g'))"
-_P1 = f"""
+_HOT = f"""
 with items as (select distinct id, source_id, body_text from content_items where body_text <> '' and source_id is not null),
 cut as (select id, source_id, unnest(string_split(body_text, chr(10))) as line, generate_subscripts(string_split(body_text, chr(10)), 1) as line_no from items),
 keyed as (select id, source_id, line_no, {_LINE} as k from cut),
 n as (select source_id, count(distinct id) as n from items group by 1),
-hot as (select source_id, k from keyed join n using (source_id) where k <> '' group by source_id, k, n having count(distinct id) >= 3 and count(distinct id) * 40 >= n)
-select distinct id as content_item_id, line_no from keyed join hot using (source_id, k)"""
+hot as (select source_id, k from keyed join n using (source_id) where k <> '' group by source_id, k, n having count(distinct id) >= 3 and count(distinct id) * 40 >= n)"""
+_P1 = f"{_HOT} select distinct id as content_item_id, line_no from keyed join hot using (source_id, k)"
+_P1_BLOCKS = f"""{_HOT}, seq as (select source_id, id, k, row_number() over (partition by source_id, id order by line_no) as pos from keyed where k <> ''),
+g as (select source_id, id, k, pos, pos - row_number() over (partition by source_id, id order by pos) as r from seq join hot using (source_id, k)),
+runs as (select source_id, id, r, list(k order by pos) as ks from g group by 1, 2, 3), a as (select *, unnest(range(1, len(ks) + 1)) as i from runs), b as (select *, unnest(range(1, len(ks) - i + 2)) as l from a),
+sub as (select source_id, id, l, md5(array_to_string(list_slice(ks, i, i + l - 1), chr(10))) as b, ks[i + l] as following from b),
+ahead as (select source_id, l, b, max(c) as c from (select source_id, l, b, following, count(*) as c from sub where following is not null group by 1, 2, 3, 4) group by 1, 2, 3),
+blocks as (select source_id, l, b, count(distinct id) as n_items, count(*) as n_places from sub group by 1, 2, 3)
+select source_id, l as n_lines, n_items, n_places from blocks join n using (source_id) left join ahead using (source_id, l, b) where n_items >= 3 and n_items * 40 >= n and coalesce(c, 0) < n_places"""
+_P1_CLEAN = f"""{_HOT}, gone as (select distinct id, line_no from keyed join hot using (source_id, k)), body as (select distinct id, body_text from content_items),
+kept as (select id, string_agg(line, chr(10) order by line_no) as t from (select distinct id, line, line_no from cut) where (id, line_no) not in (select (id, line_no) from gone) group by 1)
+select b.id as content_item_id, case when b.body_text is null or b.id not in (select id from gone) then b.body_text else coalesce(kept.t, '') end as clean_text from body b left join kept using (id)"""
 
 _P7 = r"""
 with t as (select id, regexp_extract_all(lower(coalesce(title, '') || ' ' || body_text), '[\p{L}\p{N}]+') as w from content_items where body_text <> ''),
@@ -142,4 +152,4 @@ n as (select id, count(*) as n from g group by 1),
 c as (select a.id as x, b.id as y, count(*) as c from g a join g b on a.s = b.s and a.id < b.id group by 1, 2)
 select x as id_a, y as id_b from c join n p on p.id = x join n q on q.id = y where c * 3 >= p.n + q.n"""
 
-ORACLE = {"p7_found": _P7, "p1_found": _P1, "p10_found": uniform.oracle()}
+ORACLE = {"p7_found": _P7, "p1_found": _P1, "p1_blocks": _P1_BLOCKS, "p1_clean": _P1_CLEAN, "p10_found": uniform.oracle()}

@@ -60,9 +60,46 @@ def test_clean_text_and_report(spark):
     d = items(spark, rows)
     clean = {r.id: r.clean_text for r in boilerplate.without_repeated_lines(d).collect()}
     assert clean == {**{i: f"text {chr(97 + i)}" for i in range(5)}, 9: "begin", 10: None}
-    report = boilerplate.Blocks(d).report().groupBy("source_id", "n_lines").agg(F.max("n_items").alias("n_items"), F.sum("n_places").alias("n_places"))
-    found = {(r.source_id, r.n_lines): (r.n_items, r.n_places) for r in report.collect()}
-    assert found == {(1, 1): (5, 15), (1, 2): (5, 5)}
+    report = boilerplate.Blocks(d).report()
+    assert sorted(map(tuple, report.collect())) == [(1, 1, 5, 5), (1, 1, 5, 5), (1, 2, 5, 5)]
+
+
+def blocks_brute(rows, least=3, one_in=40):
+    n, spans, follow = defaultdict(set), defaultdict(list), defaultdict(list)
+    seqs = {}
+    for i, s, t in rows:
+        if i is not None and s is not None and t:
+            n[s].add(i)
+            seqs[s, i] = [key(x) for x in t.split("\n") if key(x)]
+    for (s, i), q in seqs.items():
+        for a in range(len(q)):
+            for b in range(a + 1, len(q) + 1):
+                spans[s, tuple(q[a:b])].append(i)
+                follow[s, tuple(q[a:b])].append(q[b] if b < len(q) else None)
+    out = []
+    for (s, block), at in spans.items():
+        ends = set(follow[s, block])
+        if len(set(at)) >= max(least, len(n[s]) / one_in) and (len(ends) > 1 or None in ends):
+            out.append((s, len(block), len(set(at)), len(at)))
+    return sorted(out)
+
+
+def test_blocks_of_all_lengths(spark):
+    for seed in range(2):
+        rows = rows_of(seed)
+        rows += [(200 + i, 4, "\n".join(["a", "b", "c", "d"][: 1 + i % 4] + ["0"] * (i % 7) + ["z"])) for i in range(20)]
+        for most in (200_000, 3):  # 3: buckets are split by their next lines
+            b = boilerplate.Blocks(items(spark, rows), most=most)
+            assert sorted(map(tuple, b.report().collect())) == blocks_brute(rows), (seed, most)
+            for lines in (1, 3):
+                got = boilerplate.repeated_lines(items(spark, rows), lines, most=most)
+                assert {(r[0], r.line_no) for r in got.collect()} == brute(rows, lines)
+
+
+def test_long_runs_of_one_line(spark):
+    rows = [(i, 1, "\n".join(["0"] * 3000)) for i in range(4)]
+    assert boilerplate.repeated_lines(items(spark, rows), 2).count() == 12_000
+    assert boilerplate.Blocks(items(spark, rows)).report().count() == 3000
 
 
 def test_empty(spark):
