@@ -1,22 +1,30 @@
 """New batches against everything already accepted (problem 3).
 
-The accepted items live in an index of tables in a folder:
+The accepted items live in an index of tables in a folder. It is made of
+segments; a batch adds one, and segments of like size are merged, so a row is
+written a logarithm of times. A segment has
 
 * ``vectors`` - the full sparse vector (set of word-run hashes) of every
   accepted text, once;
 * ``cells`` - an inverted file by coordinate: the vectors that have it among
   their first ones in a fixed order, rare coordinates first, with sizes and
-  sketches; coordinates are grouped so that a group is one partition's work;
-* ``keys`` - the exact keys (hash, external id, file, equal text) of accepted items;
-* ``ranks`` - the order and the number of groups, fixed when the index is made.
+  sketches;
+* ``keys`` - the exact keys (hash, external id, file, equal text) of accepted items.
+
+Each is parted on disk into groups by the first bits of what it is looked up
+by; a segment has as many groups as its size asks for, so groups never grow.
+``ranks`` is the order of coordinates. A commit names the segments that hold;
+it is written last, under the next number, so what a lost job wrote is never
+read, and any later job can open the folder and go on.
 
 A new vector probes the cells of its coordinates in that order. After p cells
 without it, a match can share at most n - p coordinates, so its similarity is
 at most (n - p) / n: probing ends where that bound falls below the threshold,
-and every vector near enough has been met. What is met is bounded further by
-sizes and positions and by segment bitmaps, then reranked exactly with the full
-vectors. Accepted items are appended. Earlier items are never read again; their
-index is read, by columns and joined on cells.
+and every vector near enough has been met. Only groups that a batch names are
+read; a bitmap of the batch's coordinates sifts their rows in the scan, so that
+what is shuffled is what the batch meets, not the history. What is met is
+bounded further by sizes and positions and by segment bitmaps, then reranked
+exactly with the full vectors. Accepted items are appended.
 
 Within a batch, items are judged in order of id. An item that is not linked to
 a smaller undecided or accepted one is accepted, one linked to a smaller
@@ -27,12 +35,22 @@ third of all rows share is one minimum, never a list of pairs.
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.neardup import NearDuplicates
+from factloom.llm.neardup import PER_PARTITION, Entries, NearDuplicates, _rows, counter_blocks, element_counts, ranks_of
 from factloom.session import cut, scratch
 
+#: Groups read by name; a batch that touches more of a segment reads it whole.
+MOST_GROUPS = 10_000
+
 # Fixed value: SHA-256 of nothing.
 EMPTY_HASH = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
@@ -96,15 +114,171 @@ def resolve(member: DataFrame, near: DataFrame, old: DataFrame | None = None) ->
         state = cut(now.select("id", (F.col("accepted") | (F.col("any") >= F.col("id"))).alias("accepted")))
 
 
+class Sieve:
+    """A bitmap of 64-bit hashes by their first bits: what fails it is not among them. At most 16 MB, whatever the batch."""
+
+    def __init__(self, hashes: DataFrame, column: str):
+        n = hashes.count()
+        self.bits = min(27, max(16, int(16 * n).bit_length()))
+        at = F.shiftrightunsigned(F.col(column), 64 - self.bits)
+        maps = hashes.select((at / 32768).cast("long").alias("b"), (at % 32768).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
+        data = np.zeros(1 << (self.bits - 3), np.uint8)
+        for r in maps.toLocalIterator():
+            data[r.b * 4096 : (r.b + 1) * 4096] = np.frombuffer(r.m, np.uint8)[: len(data)]
+        self.shared = hashes.sparkSession.sparkContext.broadcast(data.tobytes())
+
+    def hits(self, h: np.ndarray) -> np.ndarray:
+        at = (h.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (np.frombuffer(self.shared.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+    def sifted(self, rows: DataFrame, column: str) -> DataFrame:
+        """The rows whose ``column`` passes."""
+
+        def each(batches):
+            for b in batches:
+                yield b.filter(pa.array(self.hits(b.column(column).to_numpy())))
+
+        return rows.mapInArrow(each, rows.schema)
+
+
 class AcceptedIndex:
-    """The accepted items of all batches so far, in the folder ``path``."""
+    """The accepted items of all batches so far, in the folder ``path``; one job at a time may write to it."""
+
+    def __init__(self, spark: SparkSession, path: str, fan: int = 8, per_group: int = PER_PARTITION):
+        """Opens what is committed in ``path``, or begins there. ``fan`` segments of like size are merged; a group is meant for ``per_group`` entries."""
+        self.spark, self.path, self.fan, self.per_group = spark, path.rstrip("/"), fan, per_group
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        self._at = lambda name: hadoop.Path(f"{self.path}/{name}")
+        self._fs = hadoop.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.number, self.segments, self.ranks_name = 0, [], None
+        if self._fs.exists(self._at("commits")):
+            self.number = max((int(f.getPath().getName()) for f in self._fs.listStatus(self._at("commits")) if f.getPath().getName().isdigit()), default=0)
+        if self.number:
+            last = json.loads(spark.read.text(f"{self.path}/commits/{self.number}", wholetext=True).first().value)
+            self.segments, self.ranks_name = last["segments"], last["ranks"]
+        self._tidy()
+
+    def _tidy(self) -> None:
+        """Removes what no commit names: parts that a lost job or a merge left behind."""
+        named = {s["name"] for s in self.segments} | {self.ranks_name}
+        for kind in ("vectors", "cells", "keys", "ranks"):
+            if self._fs.exists(self._at(kind)):
+                for f in self._fs.listStatus(self._at(kind)):
+                    if f.getPath().getName() not in named:
+                        self._fs.delete(f.getPath(), True)
+
+    def _commit(self, segments: list[dict], ranks: str) -> None:
+        """Makes ``segments`` the index: one small file, whole or not there, under the next number."""
+        draft, name = self._at(f"commits/draft-{uuid.uuid4().hex}"), self._at(f"commits/{self.number + 1}")
+        out = self._fs.create(draft)
+        out.write(bytearray(json.dumps({"segments": segments, "ranks": ranks}).encode()))
+        out.close()
+        if self._fs.exists(name) or not self._fs.rename(draft, name):
+            raise RuntimeError(f"another job has written commit {self.number + 1} of {self.path}")
+        self.number, self.segments, self.ranks_name = self.number + 1, segments, ranks
+
+    def _ranks(self) -> bytes:
+        return bytes(self.spark.read.parquet(f"{self.path}/ranks/{self.ranks_name}").first().ranks)
+
+    def _read(self, kind: str, hashes: DataFrame | None = None, column: str = "") -> DataFrame | None:
+        """The rows of a kind; with ``hashes``, of the groups that those name."""
+        parts = {b: [s["name"] for s in self.segments if s["bits"] == b] for b in sorted({s["bits"] for s in self.segments})}
+        out = None
+        for bits, names in parts.items():
+            rows = None
+            for n in names:
+                part = self.spark.read.schema(_SCHEMAS[kind] + ", grp int").parquet(f"{self.path}/{kind}/{n}")
+                rows = part if rows is None else rows.unionByName(part)
+            if hashes is not None and bits:
+                group = F.shiftrightunsigned(F.col(column), 64 - bits).cast("int").alias("grp")
+                touched = [r.grp for r in hashes.select(group).distinct().limit(MOST_GROUPS + 1).collect()]
+                if len(touched) <= MOST_GROUPS:
+                    rows = rows.filter(F.col("grp").isin(touched))
+            rows = rows.drop("grp")
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def cells(self, new: DataFrame) -> DataFrame:
+        """(cell, blob, m): of the cells that the entries of ``new`` name, the entries of accepted vectors."""
 
-    def __init__(self, spark: SparkSession, path: str, cells: int = 8):
-        """``cells``: at least so many groups of coordinates, fixed at the first batch; more for a history that will be large."""
-        self.spark, self.path, self.cells, self.made = spark, path.rstrip("/"), cells, False
+        def elements(batches):
+            for b in batches:
+                for blob in b.column("blob").to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(Entries.unpacked(blob)[0].element).view(np.int64))], names=["e"])
 
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        named = cut(new.select("blob").mapInArrow(elements, "e long").distinct())
+        sieve = Sieve(named, "e")
+
+        def each(batches):
+            for b in batches:
+                for blob in b.column("blob").to_pylist():
+                    entries, _ = Entries.unpacked(blob)
+                    met = entries.only(np.flatnonzero(sieve.hits(entries.element)))
+                    yield _rows(*met.packed(np.zeros(len(met.doc), np.int64), True, False))
+
+        return self._read("cells", named, "e").mapInArrow(each, "cell int, blob binary, m int")
+
+    def vectors(self, sets: DataFrame) -> DataFrame:
+        """(set, elements) of the accepted vectors among ``sets``."""
+        return Sieve(sets, "set").sifted(self._read("vectors", sets, "set"), "set").join(sets, "set", "left_semi")
+
+    def _parted(self, rows: DataFrame, key: str, bits: int) -> DataFrame:
+        group = F.shiftrightunsigned(F.col(key), 64 - bits).cast("int") if bits else F.lit(0)
+        return rows.withColumn("grp", group).repartition(1 << bits, "grp")
+
+    def _write(self, vectors: DataFrame, keys: DataFrame, ranks: bytes) -> dict:
+        """A new segment, its groups by its own size; not part of the index before a commit names it."""
+        name = f"s{uuid.uuid4().hex}"
+        vectors, keys = cut(vectors), cut(keys)
+        size = vectors.agg(F.sum(F.size("elements")).alias("n")).first().n or 0
+        bits = max(0, int(max(size // 2, keys.count()) // self.per_group)).bit_length()
+        self._parted(vectors, "set", bits).write.partitionBy("grp").parquet(f"{self.path}/vectors/{name}")
+        self._parted(keys, "g", bits).write.partitionBy("grp").parquet(f"{self.path}/keys/{name}")
+        shared, num, den = self.spark.sparkContext.broadcast(ranks), 1, 2
+
+        def each(batches):
+            ranks = np.frombuffer(shared.value, np.uint8)
+            for b in batches:
+                for lo in range(0, b.num_rows, 20_000):
+                    part = b.slice(lo, 20_000)
+                    lists = part.column("elements")
+                    h, offsets = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy().astype(np.int64)
+                    entries = Entries.of(part.column("set").to_numpy(), h, offsets - offsets[0], ranks, num, den)
+                    cell = (entries.element >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(entries.doc), np.int64)
+                    yield _rows(*entries.packed(cell, True, False))
+
+        cells = vectors.select("set", "elements").mapInArrow(each, "cell int, blob binary, m int").withColumnRenamed("cell", "grp")
+        cells.repartition(1 << bits, "grp").write.partitionBy("grp").parquet(f"{self.path}/cells/{name}")
+        return {"name": name, "bits": bits, "size": int(size)}
+
+    def _save_ranks(self, ranks: bytes) -> str:
+        name = f"r{uuid.uuid4().hex}"
+        self.spark.createDataFrame([(bytearray(ranks),)], "ranks binary").write.parquet(f"{self.path}/ranks/{name}")
+        return name
+
+    def merge(self) -> None:
+        """Merges segments of like size while there are ``fan`` of them; where all become one, the order of coordinates is made anew from all vectors."""
+        while True:
+            levels: dict[int, list[dict]] = {}
+            for s in self.segments:
+                level = 0
+                while self.fan ** (level + 1) <= s["size"]:
+                    level += 1
+                levels.setdefault(level, []).append(s)
+            full = [x for x in levels.values() if len(x) >= self.fan]
+            if not full:
+                return
+            some = full[0]
+            rest = [s for s in self.segments if s not in some]
+            whole, self.segments = self.segments, some
+            vectors, keys = self._read("vectors"), self._read("keys")
+            self.segments = whole
+            name, ranks = self.ranks_name, self._ranks()
+            if not rest:
+                ranks = ranks_of(vectors.select("elements").mapInArrow(_count_elements, "block long, salt long, counts binary"))
+                name = self._save_ranks(ranks)
+            self._commit([*rest, self._write(vectors, keys, ranks)], name)
+            self._tidy()
 
     def judge(self, items: DataFrame, blobs: DataFrame, append: bool = True) -> DataFrame:
         """(kept_id, dup_id) of the batch's items that repeat an accepted one; the accepted ones are appended.
@@ -115,51 +289,69 @@ class AcceptedIndex:
         """
         items = items.filter("id is not null").select("id", "source_id", "external_id", "raw_payload", "hash_sha256")
         texts = items.select(F.col("id").alias("k"), payload_text(F.col("raw_payload")).alias("t")).filter("t is not null").dropDuplicates(["k"])
-        before = {}
-        if self.made:
-            fixed = self._read("ranks").first()
-            before = {"ranks": bytes(fixed.ranks), "cell_count": fixed.cells, "old_cells": self._read("cells"), "old_vectors": self._read("vectors")}
-        near = NearDuplicates(texts, **before)
-        if not self.made:
-            near.cell_count = max(self.cells, near.partitions())
+        made = bool(self.segments)
+        near = NearDuplicates(texts, ranks=self._ranks() if made else None, history=self if made else None)
         named = near.sets.select(F.col("k").alias("id"), _group("d", F.col("set")).alias("g"))
         member = cut(exact_keys(items, blobs).unionByName(named))
         links = near.links().select(_group("d", F.col("set_a")).alias("x"), _group("d", F.col("set_b")).alias("y"))
         links = links.select(F.explode(F.array(F.struct(F.col("x").alias("g"), F.col("y").alias("h")), F.struct(F.col("y").alias("g"), F.col("x").alias("h")))).alias("e")).select("e.g", "e.h")
         old = None
-        if self.made:
+        if made:
             links = cut(links)
-            asked = member.select("g").unionByName(links.select(F.col("h").alias("g"))).distinct()
-            old = cut(self._read("keys").join(asked, "g", "left_semi").groupBy("g").agg(F.min("id").alias("kept")))
+            asked = cut(member.select("g").unionByName(links.select(F.col("h").alias("g"))).distinct())
+            keys = Sieve(asked, "g").sifted(self._read("keys", asked, "g").select("id", "g"), "g")
+            old = cut(keys.join(asked, "g", "left_semi").groupBy("g").agg(F.min("id").alias("kept")))
         found = cut(resolve(member, links, old))
         if append:
-            kept = found.select(F.col("id").alias("k"))
-            fresh = near.sets.join(kept, "k", "left_anti").select("set").distinct()
-            if self.made:
-                fresh = fresh.join(self._read("vectors").select("set"), "set", "left_anti")
-            fresh = cut(fresh)
+            # a set that an accepted item has is a repeated one, so the sets of accepted items are new to the index
+            fresh = cut(near.sets.join(found.select(F.col("id").alias("k")), "k", "left_anti").select("set").distinct())
             own = near.texts.join(near.classes.join(fresh, "set", "left_semi").select("k"), "k", "left_semi")
-            near.vectors(own).write.mode("append").parquet(f"{self.path}/vectors")
-            near.cells(own, near.cell_count).write.mode("append").parquet(f"{self.path}/cells")
-            member.join(found.select("id"), "id", "left_anti").write.mode("append").parquet(f"{self.path}/keys")
-            if not self.made:
-                self.spark.createDataFrame([(bytearray(near.ranks()), near.cell_count)], "ranks binary, cells int").write.parquet(f"{self.path}/ranks")
-                self.made = True
+            keys = member.join(found.select("id"), "id", "left_anti").select("id", "g")
+            ranks = near.ranks()
+            segment = self._write(near.vectors(own), keys, ranks)
+            self._commit([*self.segments, segment], self.ranks_name or self._save_ranks(ranks))
+            self.merge()
         return found.select("kept_id", F.col("id").alias("dup_id"))
 
 
-def judge_in_batches(items: DataFrame, blobs: DataFrame, batches: int, path: str | None = None) -> DataFrame:
-    """The whole table judged in ``batches`` batches of consecutive ids, one after another, through a persisted index."""
+_SCHEMAS = {"vectors": "set long, elements array<long>", "cells": "blob binary, m int", "keys": "id long, g long"}
+
+
+def _count_elements(batches):
+    counts = 0
+    for b in batches:
+        counts = counts + element_counts(b.column(0).flatten().to_numpy().view(np.uint64))
+    blocks, data = counter_blocks(counts) if not isinstance(counts, int) else ([], [])
+    salt = [TaskContext.get().partitionId() % 32] * len(blocks)
+    yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(salt, pa.int64()), pa.array(data, pa.binary())], names=["block", "salt", "counts"])
+
+
+def judge_in_batches(items: DataFrame, blobs: DataFrame, ends: Sequence[int] = (), path: str | None = None, **parameters) -> DataFrame:
+    """The whole table judged in batches of consecutive ids (after each of ``ends`` a new one begins), each by an index opened anew."""
     spark = items.sparkSession
-    index = AcceptedIndex(spark, path or scratch(spark, "accepted"))
-    ends = items.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)] or [1.0], 10_000).alias("q")).first().q or []
+    path = path or scratch(spark, "accepted")
     out, lower = None, None
-    for upper in [*(ends if batches > 1 else []), None]:
+    for upper in [*ends, None]:
         part = items
         if lower is not None:
             part = part.filter(F.col("id") > lower)
         if upper is not None:
             part = part.filter(F.col("id") <= upper)
-        found = index.judge(part, blobs, append=upper is not None)
+        found = AcceptedIndex(spark, path, **parameters).judge(part, blobs, append=upper is not None)
         out, lower = (found if out is None else out.unionByName(found)), upper
     return out
+
+
+def loads_by_days(items: DataFrame, days: int) -> list[int]:
+    """The last ids of loads of ``days`` days each by ``collected_at``; ids stand in order of arrival, so an item whose date lies before its neighbours' stays in their load."""
+    day = F.try_to_date(F.substring("collected_at", 1, 10))
+    first = items.agg(F.min(day).alias("d"))
+    load = F.floor(F.date_diff(day, F.col("d")) / days)
+    begins = items.crossJoin(F.broadcast(first)).filter("id is not null").groupBy(load.alias("load")).agg(F.min("id").alias("begin"))
+    rows = sorted((r.load, r.begin) for r in begins.filter("load > 0").collect())
+    # a load begins where an item of it or of a later one first stands
+    ends, least = [], None
+    for _, begin in reversed(rows):
+        least = begin if least is None else min(least, begin)
+        ends.append(least - 1)
+    return sorted(set(ends))

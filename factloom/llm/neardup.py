@@ -8,8 +8,10 @@ distance is at most (1 - t) / (1 + t) * (a + b). Nothing is approximate:
 2. Candidates: elements are ordered, rare ones first, by counts over all
    texts; similar sets share an element among their first ones (pigeonhole
    over single elements). Sets travel to the partitions of these elements, with
-   a sketch each; a match is taken up if sizes and positions leave room for
-   enough common elements.
+   a sketch each; there an element's sets stand in order of size, so that only
+   sizes that can match meet, and a match is taken up if positions leave room
+   for enough common elements. A hot element's sets are parted into blocks, and
+   every two blocks meet in a partition of their own: no task holds them all.
 3. Pigeonring: a sketch holds, for every bit, whether an odd number of elements
    fall on it, so bits that differ between two sketches bound the distance from
    below. Its words are a ring of ``SEGMENTS`` segments. If two sets are within
@@ -37,8 +39,8 @@ from factloom.session import cut
 SEGMENTS = 8
 BUCKETS = 1 << 18
 _BLOCK = 1 << 12
-#: Pairs looked at together in a partition, and first elements a partition is meant for.
-CHUNK, PER_PARTITION = 2_000_000, 1_500_000
+#: Pairs looked at together in a partition, first elements a partition is meant for, and sets of one element in a block.
+CHUNK, PER_PARTITION, HOT = 2_000_000, 1_500_000, 250_000
 #: Ids of copies are broadcast up to this many rows (8 bytes each), else joined by shuffle.
 MOST_BROADCAST = 200_000
 
@@ -59,14 +61,17 @@ def set_ids(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(out + np.diff(offsets).astype(np.uint64)).view(np.int64)
 
 
+def sketch_words(n: np.ndarray) -> np.ndarray:
+    """64-bit words of the sketch of a set of n elements: SEGMENTS, doubled until there are two bits an element."""
+    return SEGMENTS << np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / (32 * SEGMENTS)))).astype(np.int64)
+
+
 def sketches(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Parity sketches of the sets, one after another, and each one's number of 64-bit words.
 
-    A sketch has SEGMENTS words, doubled until it has at least two bits an
-    element; halves laid over each other give the sketch of half the size.
+    Halves laid over each other give the sketch of half the size.
     """
-    n = np.maximum(np.diff(offsets), 1)
-    words = SEGMENTS << np.maximum(0, np.ceil(np.log2(n / (32 * SEGMENTS)))).astype(np.int64)
+    words = sketch_words(np.diff(offsets))
     first = np.cumsum(words) - words
     owner = _owner(offsets)
     word = ((h >> np.uint64(20)) & (words[owner] - 1).astype(np.uint64)).astype(np.int64)
@@ -87,66 +92,137 @@ def ring_chains(differ: np.ndarray, budget: np.ndarray, chain: int = SEGMENTS) -
     return at
 
 
+class Entries:
+    """First elements of some sets: ids, sizes and sketches by set; set, element, position and side by entry."""
+
+    def __init__(self, ids, n, sketch, doc, element, pos, side=None):
+        self.ids, self.n, self.sketch, self.doc, self.element, self.pos = ids, n, sketch, doc, element, pos
+        self.side = np.full(len(doc), 2, np.uint8) if side is None else side  # 2: all meet; 0 and 1: blocks that meet each other
+
+    @classmethod
+    def of(cls, ids, h, offsets, ranks, num: int, den: int) -> Entries:
+        """Of sets of hashes ascending: the least frequent elements first, as many as one of them must be common to two similar sets."""
+        n, owner, e = np.diff(offsets), _owner(offsets), mix(h)
+        order = np.lexsort((h, ranks[(e & np.uint64(BUCKETS - 1)).astype(np.int64)], owner))
+        pos = np.arange(len(h)) - offsets[owner]
+        keep = np.flatnonzero(pos <= (n - -(-n * num // den))[owner])
+        return cls(ids, n, sketches(h, offsets)[0], owner[keep], e[order][keep], pos[keep])
+
+    def only(self, keep: np.ndarray) -> Entries:
+        """The entries at ``keep``; their sets stay as they are."""
+        return Entries(self.ids, self.n, self.sketch, self.doc[keep], self.element[keep], self.pos[keep], self.side[keep])
+
+    def spread(self, ranks: np.ndarray, partitions: int, most: int) -> tuple[np.ndarray, Entries]:
+        """The partition of every entry, hot elements' entries once for every block they meet, and the entries."""
+        blocks = np.maximum(np.ceil((np.exp2(ranks[(self.element & np.uint64(BUCKETS - 1)).astype(np.int64)] / 8.0) - 1) / most), 1).astype(np.int64)
+        at = np.repeat(np.arange(len(self.doc)), blocks)
+        e, b = self.element[at], blocks[at]
+        other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        own = (mix(self.ids.view(np.uint64) ^ np.uint64(0x5A5A5A5A)) >> np.uint64(33)).astype(np.int64)[self.doc[at]] % b
+        side = np.where(own == other, 2, own > other).astype(np.uint8)
+        pair = (np.minimum(own, other) << 32 | np.maximum(own, other)).astype(np.uint64)
+        e = np.where(b > 1, mix(e ^ mix(pair + np.uint64(1))), e)
+        return ((e >> np.uint64(33)).astype(np.int64) % partitions), Entries(self.ids, self.n, self.sketch, self.doc[at], e, self.pos[at], side)
+
+    def packed(self, cell: np.ndarray, old: bool, narrow: bool) -> tuple[list[int], list[bytes], list[int]]:
+        """Cells and, for each, the bytes of its entries and their number; ``narrow`` keeps the 32 bits of elements that the cell does not tell."""
+        order = np.argsort(cell, kind="stable")
+        cell, doc = cell[order], self.doc[order]
+        fresh = np.ones(len(cell), bool)
+        fresh[1:] = (cell[1:] != cell[:-1]) | (doc[1:] != doc[:-1])
+        docs, number = doc[fresh], np.cumsum(fresh) - 1
+        edge = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+        edge = np.append(edge, len(cell))
+        begin = np.append(number[edge[:-1]], len(docs))
+        local = number - np.repeat(begin[:-1], np.diff(edge))
+        words = sketch_words(self.n)
+        sketch = self.sketch[gather((np.cumsum(words) - words)[docs], words[docs])]
+        at = np.concatenate([[0], np.cumsum(words[docs])])
+        element = (self.element[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32) if narrow else self.element[order]
+        pos, side = np.minimum(self.pos[order], 65535).astype(np.uint16), self.side[order]
+        ids, n, local = self.ids[docs].astype(np.int64), self.n[docs].astype(np.int32), local.astype(np.uint16)
+        cells, blobs = [], []
+        for k in range(len(edge) - 1):
+            d, e = slice(begin[k], begin[k + 1]), slice(edge[k], edge[k + 1])
+            s = sketch[at[d.start] : at[d.stop]]
+            head = np.array([d.stop - d.start, len(s), e.stop - e.start, 2 * old + narrow], np.int64)
+            cells.append(int(cell[edge[k]]))
+            blobs.append(b"".join(x.tobytes() for x in (head, ids[d], n[d], s, element[e], pos[e], local[e], side[e])))
+        return cells, blobs, np.diff(edge).tolist()
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> tuple[Entries, bool]:
+        """The entries of some bytes, and whether they are of earlier sets."""
+        d, k, e, flags = np.frombuffer(blob, np.int64, 4).tolist()
+        out, at = [], 32
+        for count, kind in ((d, np.int64), (d, np.int32), (k, np.uint64), (e, np.uint32 if flags & 1 else np.uint64), (e, np.uint16), (e, np.uint16), (e, np.uint8)):
+            out.append(np.frombuffer(blob, kind, count, at))
+            at += out[-1].nbytes
+        ids, n, sketch, element, pos, doc, side = out
+        return cls(ids, n.astype(np.int64), sketch, doc.astype(np.int64), element, pos.astype(np.int64), side), bool(flags & 2)
+
+
 class Cell:
     """The sets and first elements that met in one partition."""
 
     def __init__(self) -> None:
-        self.parts: list[tuple] = []
-
-    @staticmethod
-    def pack(ids, n, sketch, words, element, doc, pos) -> bytes:
-        head = np.array([len(ids), len(sketch), len(element)], np.int64)
-        kinds = ((head, np.int64), (ids, np.int64), (n, np.int32), (words, np.int32), (sketch, np.uint64), (element, np.uint64), (pos, np.int32), (doc, np.uint16))
-        return b"".join(np.ascontiguousarray(x, t).tobytes() for x, t in kinds)
-
-    def add(self, blob: bytes, old: bool) -> None:
-        d, k, e = np.frombuffer(blob, np.int64, 3).tolist()
-        out, at = [], 24
-        for count, kind in ((d, np.int64), (d, np.int32), (d, np.int32), (k, np.uint64), (e, np.uint64), (e, np.int32), (e, np.uint16)):
-            out.append(np.frombuffer(blob, kind, count, at))
-            at += out[-1].nbytes
-        self.parts.append((*out, np.full(d, old)))
+        self.parts: list[tuple[Entries, bool]] = []
+
+    def add(self, blob: bytes) -> None:
+        self.parts.append(Entries.unpacked(blob))
 
     def pairs(self, num: int, den: int):
-        """Chunks (a, b) of set ids that share an element here and pass the bounds; two old sets are no pair."""
+        """Chunks (a, b) of set ids that share an element here and pass the bounds; two old sets never meet."""
         if not self.parts:
             return
-        ids, n, words, sketch, element, pos = (np.concatenate([p[i] for p in self.parts]) for i in range(6))
-        sizes = [len(p[0]) for p in self.parts]
-        doc = np.concatenate([p[6].astype(np.int64) + first for p, first in zip(self.parts, np.cumsum([0, *sizes[:-1]]).tolist(), strict=True)])
-        old = np.concatenate([p[7] for p in self.parts])
-        first = np.cumsum(words, dtype=np.int64) - words
-        order = np.argsort(element, kind="stable")
-        element, doc, pos = element[order], doc[order], pos[order]
-        run_end = np.searchsorted(element, element, side="right") if len(element) else element
-        after = run_end - np.arange(len(element)) - 1
+        p = [x for x, _ in self.parts]
+        ids, n, sketch, element, pos, side = (np.concatenate([getattr(x, k) for x in p]) for k in ("ids", "n", "sketch", "element", "pos", "side"))
+        sizes = [len(x.ids) for x in p]
+        doc = np.concatenate([x.doc + first for x, first in zip(p, np.cumsum([0, *sizes[:-1]]).tolist(), strict=True)])
+        old = np.repeat([o for _, o in self.parts], sizes)
+        self.parts = []
+        words = sketch_words(n)
+        first = np.cumsum(words) - words
+        # by element, new sets before old ones, by size: a set's partners are at most two ranges
+        key = (np.unique(element, return_inverse=True)[1].astype(np.int64) << 1 | old[doc]) << 32 | n[doc]
+        order = np.argsort(key, kind="stable")
+        key, doc, pos, side = key[order], doc[order], pos[order], side[order]
+        new = np.flatnonzero(~old[doc])
+        size, base = n[doc[new]], key[new] >> 32 << 32
+        most = np.minimum(size * den // num, (1 << 32) - 1)
+        behind = np.searchsorted(key, base | most, side="right")
+        lo, hi = np.searchsorted(key, (base + (1 << 32)) | -(-size * num // den)), np.searchsorted(key, (base + (1 << 32)) | most, side="right")
+        left, start, count = np.concatenate([new, new]), np.concatenate([new + 1, lo]), np.concatenate([np.maximum(behind - new - 1, 0), np.maximum(hi - lo, 0)])
+        some = np.flatnonzero(count)
+        left, start, count = left[some], start[some], count[some]
+        ends = np.cumsum(count)
         room = n[doc] - pos
-        done = 0
-        ends = np.cumsum(after)
-        while done < len(after):
-            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + CHUNK, side="right")))
-            for lo in range(0, int(after[done]) if upto == done + 1 else 1, CHUNK):  # a long run of one element goes in pieces
-                left = np.arange(done, upto)
-                count = after[done:upto] if upto > done + 1 else np.array([min(CHUNK, int(after[done]) - lo)])
-                x, y = np.repeat(left, count), gather(left + 1 + lo, count)
-                na, nb = n[doc[x]].astype(np.int64), n[doc[y]].astype(np.int64)
-                ok = (np.maximum(na, nb) * num <= np.minimum(na, nb) * den) & (np.minimum(room[x], room[y]) * (num + den) >= num * (na + nb))
-                a, b = doc[x[ok]], doc[y[ok]]
-                keep = ~(old[a] & old[b]) & (ids[a] != ids[b])
-                a, b = a[keep], b[keep]
-                size = np.minimum(words[a], words[b])
-                for w in np.unique(size).tolist():
-                    at = np.flatnonzero(size == w)
-                    p, q = a[at], b[at]
-                    differ = np.zeros((len(at), SEGMENTS), np.float32)
-                    for i in range(w):
-                        u = _folded(sketch, first, words, p, i, w) ^ _folded(sketch, first, words, q, i, w)
-                        differ[:, i % SEGMENTS] += np.bitwise_count(u)
-                    near = ring_chains(differ, ((den - num) / (den + num) * (n[p].astype(np.float64) + n[q])))
-                    if len(near):
-                        i, j = ids[p[near]], ids[q[near]]
-                        yield np.minimum(i, j), np.maximum(i, j)
-            done = upto
+        for done in range(0, int(ends[-1]) if len(ends) else 0, CHUNK):
+            upto = min(done + CHUNK, int(ends[-1]))
+            rows = slice(int(np.searchsorted(ends, done, side="right")), int(np.searchsorted(ends, upto)) + 1)
+            before = ends[rows] - count[rows]
+            skip = np.maximum(done - before, 0)
+            take = np.minimum(upto - before, count[rows]) - skip
+            x, y = np.repeat(left[rows], take), gather(start[rows] + skip, take)
+            na, nb = n[doc[x]], n[doc[y]]
+            ok = np.flatnonzero(np.minimum(room[x], room[y]) * (num + den) >= num * (na + nb))
+            x, y = x[ok], y[ok]
+            met = side[x] + side[y]
+            a, b = doc[x], doc[y]
+            keep = (ids[a] != ids[b]) & ((met == 4) | (met == 1))
+            a, b = a[keep], b[keep]
+            least = np.minimum(words[a], words[b])
+            for w in np.unique(least).tolist():
+                at = np.flatnonzero(least == w)
+                p, q = a[at], b[at]
+                differ = np.zeros((len(at), SEGMENTS), np.float32)
+                for i in range(w):
+                    u = _folded(sketch, first, words, p, i, w) ^ _folded(sketch, first, words, q, i, w)
+                    differ[:, i % SEGMENTS] += np.bitwise_count(u)
+                near = ring_chains(differ, ((den - num) / (den + num) * (n[p].astype(np.float64) + n[q])))
+                if len(near):
+                    i, j = ids[p[near]], ids[q[near]]
+                    yield np.minimum(i, j), np.maximum(i, j)
 
 
 def _folded(sketch: np.ndarray, first: np.ndarray, words: np.ndarray, doc: np.ndarray, i: int, w: int) -> np.ndarray:
@@ -168,6 +244,29 @@ def _sum_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).applyInArrow(each, ", ".join(f"{k} long" for k in keys) + ", counts binary")
 
 
+def element_counts(h: np.ndarray) -> np.ndarray:
+    return np.bincount((mix(h) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+
+
+def counter_blocks(counts: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """The blocks of counters that are not all zero: their numbers and bytes."""
+    blocks = [i for i in range(BUCKETS // _BLOCK) if counts[i * _BLOCK : (i + 1) * _BLOCK].any()]
+    return blocks, [counts[i * _BLOCK : (i + 1) * _BLOCK].astype(np.float32).tobytes() for i in blocks]
+
+
+def ranks_of(blocks: DataFrame) -> bytes:
+    """One byte for every counter of (block, salt, counts), the logarithm of its sum; ``BUCKETS`` numbers reach the driver."""
+    total = np.zeros(BUCKETS, np.float64)
+    by_task = _sum_blocks(blocks.select("block", "salt", "counts"), ["block", "salt"])
+    for r in _sum_blocks(by_task.select("block", "counts"), ["block"]).toLocalIterator():
+        total[r.block * _BLOCK : (r.block + 1) * _BLOCK] = np.frombuffer(r.counts, np.float32)
+    return np.minimum(np.log2(total + 1) * 8, 255).astype(np.uint8).tobytes()
+
+
+def _rows(cells: list[int], blobs: list[bytes], sizes: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(blobs, pa.binary()), pa.array(sizes, pa.int32())], names=["cell", "blob", "m"])
+
+
 class NearDuplicates:
     """Similarity classes and links of the texts of one DataFrame.
 
@@ -177,17 +276,18 @@ class NearDuplicates:
     ``num / den``, from just above 0 to 1.
 
     ``ranks`` fixes the order of elements (else the counts of these texts give
-    it); with it, ``old_cells`` (made with the same ``cell_count``) and
-    ``old_vectors`` of earlier texts may be given, and links to those are found as well.
+    it); with it, ``history`` of earlier texts may be given (the methods
+    ``cells`` and ``vectors`` of ``history.AcceptedIndex``), and links to those
+    are found as well. ``hot``: sets of one element that a block is meant for.
     """
 
-    def __init__(self, texts: DataFrame, size: int = 3, num: int = 1, den: int = 2, ranks: bytes | None = None, cell_count: int | None = None, old_cells: DataFrame | None = None, old_vectors: DataFrame | None = None):
+    def __init__(self, texts: DataFrame, size: int = 3, num: int = 1, den: int = 2, ranks: bytes | None = None, history=None, hot: int = HOT):
         if not 0 < num <= den:
             raise ValueError("a similarity above 0, at most 1")
         self.texts = texts.select(F.col("k").cast("long").alias("k"), "t").filter("k is not null and t is not null")
         self.size, self.num, self.den = size, num, den
         self.spark = texts.sparkSession
-        self._ranks, self.cell_count, self.old_cells, self.old_vectors = ranks, cell_count, old_cells, old_vectors
+        self._ranks, self.history, self.hot = ranks, history, hot
         first = cut(self._first_pass())
         self.sets = first.filter("k is not null").select("k", "set", "n")
         self._blocks = first.filter("k is null").select("block", "salt", "counts")
@@ -203,7 +303,7 @@ class NearDuplicates:
                 keys, texts = b.column(0), b.column(1).to_pylist()
                 for lo, hi in slices(texts):
                     h, offsets = element_sets(texts[lo:hi], size)
-                    counts += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                    counts += element_counts(h)
                     some = np.flatnonzero(np.diff(offsets))
                     if len(some):
                         empty = pa.nulls(len(some), pa.int64())
@@ -211,28 +311,19 @@ class NearDuplicates:
                         yield pa.RecordBatch.from_arrays(
                             [keys.take(pa.array(some + lo)), pa.array(set_ids(h, offsets)[some]), n, pa.nulls(len(some), pa.binary()), empty, empty], names=["k", "set", "n", "counts", "block", "salt"]
                         )
-            blocks = [i for i in range(BUCKETS // _BLOCK) if counts[i * _BLOCK : (i + 1) * _BLOCK].any()]
+            blocks, data = counter_blocks(counts)
             if blocks:
                 none = pa.nulls(len(blocks), pa.int64())
-                data = pa.array([counts[i * _BLOCK : (i + 1) * _BLOCK].astype(np.float32).tobytes() for i in blocks], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [none, none, none.cast(pa.int32()), data, pa.array(blocks, pa.int64()), pa.array([salt] * len(blocks), pa.int64())], names=["k", "set", "n", "counts", "block", "salt"]
+                    [none, none, none.cast(pa.int32()), pa.array(data, pa.binary()), pa.array(blocks, pa.int64()), pa.array([salt] * len(blocks), pa.int64())], names=["k", "set", "n", "counts", "block", "salt"]
                 )
 
         return self.texts.mapInArrow(each, "k long, set long, n int, counts binary, block long, salt long")
 
-    def _counts(self) -> np.ndarray:
-        """The counters of all texts: BUCKETS numbers, whatever the corpus."""
-        total = np.zeros(BUCKETS, np.float64)
-        by_task = _sum_blocks(self._blocks.select("block", "salt", "counts"), ["block", "salt"])
-        for r in _sum_blocks(by_task.select("block", "counts"), ["block"]).toLocalIterator():
-            total[r.block * _BLOCK : (r.block + 1) * _BLOCK] = np.frombuffer(r.counts, np.float32)
-        return total
-
     def ranks(self) -> bytes:
-        """The rank of every counter, one byte each: the logarithm of its count."""
+        """The rank of every counter of all texts, one byte each: BUCKETS bytes, whatever the corpus."""
         if self._ranks is None:
-            self._ranks = np.minimum(np.log2(self._counts() + 1) * 8, 255).astype(np.uint8).tobytes()
+            self._ranks = ranks_of(self._blocks)
         return self._ranks
 
     def _only(self, keys: DataFrame, keep: bool, rows: int) -> DataFrame:
@@ -246,14 +337,14 @@ class NearDuplicates:
         copies = self.sets.join(self.classes.select("k"), "k", "left_anti").select("k")
         return self._only(copies, False, more) if more else self.texts
 
-    def partitions(self) -> int:
-        """Partitions for the elements: by their number, at least the shuffle setting."""
+    def partitions(self, more: int = 0) -> int:
+        """Partitions for the elements (and ``more`` of them): by their number, at least eight."""
         first = self.classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * self.num / self.den) + 1).alias("x")).first().x or 0
-        return max(8, int(first) // PER_PARTITION + 1)
+        return max(8, (int(first) + more) // PER_PARTITION + 1)
 
-    def cells(self, texts: DataFrame, partitions: int) -> DataFrame:
-        """(cell, blob): the first elements of the texts' sets, rare ones first, with sizes and sketches, by cell."""
-        shared, size, num, den = self.spark.sparkContext.broadcast(self.ranks()), self.size, self.num, self.den
+    def cells(self, texts: DataFrame, partitions: int | None) -> DataFrame:
+        """(cell, blob, m): the texts' first elements by partition, spread for a join; with None as entries of cell 0 with whole elements."""
+        shared, size, num, den, hot = self.spark.sparkContext.broadcast(self.ranks()), self.size, self.num, self.den, self.hot
 
         def each(batches):
             ranks = np.frombuffer(shared.value, np.uint8)
@@ -263,51 +354,46 @@ class NearDuplicates:
                     part = texts[begin : begin + 50_000]
                     for lo, hi in slices(part, 1 << 21):
                         h, offsets = element_sets(part[lo:hi], size)
-                        if not len(h):
-                            continue
-                        ids, n, owner = set_ids(h, offsets), np.diff(offsets), _owner(offsets)
-                        sketch, words = sketches(h, offsets)
-                        order = np.lexsort((h, ranks[(h & np.uint64(BUCKETS - 1)).astype(np.int64)], owner))
-                        h = h[order]
-                        pos = np.arange(len(h)) - offsets[owner]
-                        keep = np.flatnonzero(pos <= (n - -(-n * num // den))[owner])
-                        cell = (mix(h[keep]) >> np.uint64(33)).astype(np.int64) % partitions
-                        keep = keep[np.argsort(cell, kind="stable")]
-                        bounds = np.searchsorted(np.sort(cell), np.arange(partitions + 1))
-                        begins = np.cumsum(words) - words
-                        blobs, cells = [], []
-                        for c in range(partitions):
-                            mine = keep[bounds[c] : bounds[c + 1]]
-                            if len(mine):
-                                docs, local = np.unique(owner[mine], return_inverse=True)
-                                own = sketch[gather(begins[docs], words[docs])]
-                                blobs.append(Cell.pack(ids[docs], n[docs], own, words[docs], h[mine], local, pos[mine]))
-                                cells.append(c)
-                        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(blobs, pa.binary())], names=["cell", "blob"])
-
-        return texts.mapInArrow(each, "cell int, blob binary")
+                        if len(h):
+                            entries = Entries.of(set_ids(h, offsets), h, offsets, ranks, num, den)
+                            cell = np.zeros(len(entries.doc), np.int64)
+                            if partitions is not None:
+                                cell, entries = entries.spread(ranks, partitions, hot)
+                            yield _rows(*entries.packed(cell, False, partitions is not None))
+
+        return texts.mapInArrow(each, "cell int, blob binary, m int")
 
     def candidates(self) -> DataFrame:
         """(a, b), a < b, of different sets that share an early element and pass all bounds."""
-        num, den = self.num, self.den
-        count = self.cell_count or self.partitions()
-        rows = self.cells(self._one_each(), count).withColumn("old", F.lit(False))
-        if self.old_cells is not None:
-            rows = rows.unionByName(self.old_cells.select("cell", "blob").withColumn("old", F.lit(True)))
-        # a key for each cell that Spark's own hash sends to a partition of its own
-        keys = self.spark.range(40 * count + 100).select(F.col("id").cast("int").alias("key"), F.expr(f"pmod(hash(cast(id as int)), {count})").alias("to"))
-        chosen = {r.to: r.key for r in keys.groupBy("to").agg(F.min("key").alias("key")).collect()}
-        key = F.element_at(F.array(*[F.lit(chosen[c]) for c in range(count)]), F.col("cell") + 1)
+        num, den, hot = self.num, self.den, self.hot
+        if self.history is None:
+            count = self.partitions()
+            rows = self.cells(self._one_each(), count)
+        else:
+            new = cut(self.cells(self._one_each(), None))
+            old = cut(self.history.cells(new))
+            count = self.partitions(int(old.agg(F.sum("m").alias("m")).first().m or 0))
+            shared = self.spark.sparkContext.broadcast(self.ranks())
+
+            def spread(batches):
+                ranks = np.frombuffer(shared.value, np.uint8)
+                for b in batches:
+                    for blob in b.column("blob").to_pylist():
+                        entries, earlier = Entries.unpacked(blob)
+                        cell, entries = entries.spread(ranks, count, hot)
+                        yield _rows(*entries.packed(cell, earlier, True))
+
+            rows = new.unionByName(old).select("blob").mapInArrow(spread, "cell int, blob binary, m int")
 
         def each(batches):
             cell = Cell()
             for b in batches:
-                for blob, old in zip(b.column("blob").to_pylist(), b.column("old").to_pylist(), strict=True):
-                    cell.add(blob, old)
+                for blob in b.column("blob").to_pylist():
+                    cell.add(blob)
             for a, b in cell.pairs(num, den):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        return rows.withColumn("key", key).repartition(count, "key").select("blob", "old").mapInArrow(each, "a long, b long").distinct()
+        return rows.select("cell", "blob").repartitionById(count, "cell").select("blob").mapInArrow(each, "a long, b long").distinct()
 
     def vectors(self, texts: DataFrame) -> DataFrame:
         """(set, elements): the full sets of texts of this collection."""
@@ -331,8 +417,8 @@ class NearDuplicates:
         used = near.select(F.explode(F.array("a", "b")).alias("set")).distinct()
         keys = cut(self.classes.join(used, "set").select("k"))
         whole = self.vectors(self._only(keys, True, keys.count()))
-        if self.old_vectors is not None:
-            whole = whole.unionByName(self.old_vectors.join(used, "set", "left_semi").select("set", "elements")).dropDuplicates(["set"])
+        if self.history is not None:
+            whole = whole.unionByName(self.history.vectors(used)).dropDuplicates(["set"])
         both = near.join(whole.toDF("a", "ea"), "a").join(whole.toDF("b", "eb"), "b")
         both = both.select(F.col("a").alias("set_a"), F.col("b").alias("set_b"), F.size(F.array_intersect("ea", "eb")).alias("common"), F.size("ea").alias("na"), F.size("eb").alias("nb"))
         return both.filter(F.col("common") * (num + den) >= num * (F.col("na") + F.col("nb")))

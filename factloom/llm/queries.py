@@ -36,13 +36,14 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Items that repeat an accepted one, judged in two loads through the persisted index."""
-    return history.judge_in_batches(table(spark, d, "raw_source_items"), table(spark, d, "raw_blobs"), 2)
+    """Items that repeat an accepted one, judged in loads of four weeks, each against the persisted index that the ones before left."""
+    items = table(spark, d, "raw_source_items")
+    return history.judge_in_batches(items, table(spark, d, "raw_blobs"), history.loads_by_days(items, 28))
 
 
 def p3_bulk(spark: SparkSession, d: str) -> DataFrame:
     """The same as one load against an empty index."""
-    return history.judge_in_batches(table(spark, d, "raw_source_items"), table(spark, d, "raw_blobs"), 1)
+    return history.judge_in_batches(table(spark, d, "raw_source_items"), table(spark, d, "raw_blobs"))
 
 
 def _typed_names(spark: SparkSession, d: str) -> DataFrame:

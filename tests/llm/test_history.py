@@ -69,9 +69,9 @@ def data(seed, n=80):
 
 
 def test_against_sequential_judging(spark):
-    for seed, batches in ((1, 1), (2, 2), (3, 3)):
+    for seed, ends in ((1, []), (3, [25, 26, 60])):
         items, blobs = data(seed)
-        got = history.judge_in_batches(spark.createDataFrame(items, ITEMS), spark.createDataFrame(blobs, BLOBS), batches).collect()
+        got = history.judge_in_batches(spark.createDataFrame(items, ITEMS), spark.createDataFrame(blobs, BLOBS), ends, per_group=200).collect()
         assert {(r.kept_id, r.dup_id) for r in got} == brute(items, blobs)
         assert len(got) == len(brute(items, blobs))
 
@@ -80,11 +80,63 @@ def test_hot_key_and_chain(spark):
     items = [(i, 1, "same", None, None, None) for i in range(1, 60)]
     items += [(100 + i, 2, f"e{i}", None, None, None) for i in range(6)]
     blobs = [(100 + i, "video", f"f{i + k}", 10 * i + k) for i in range(6) for k in (0, 1)]  # each shares a file with the next
-    got = {(r.kept_id, r.dup_id) for r in history.judge_in_batches(spark.createDataFrame(items, ITEMS), spark.createDataFrame(blobs, BLOBS), 1).collect()}
+    got = {(r.kept_id, r.dup_id) for r in history.judge_in_batches(spark.createDataFrame(items, ITEMS), spark.createDataFrame(blobs, BLOBS)).collect()}
     assert got == {(1, i) for i in range(2, 60)} | {(100, 101), (102, 103), (104, 105)}
 
 
 def test_empty(spark):
     i, b = spark.createDataFrame([], ITEMS), spark.createDataFrame([], BLOBS)
-    assert history.judge_in_batches(i, b, 1).count() == 0
-    assert history.judge_in_batches(i, b, 2).count() == 0
+    assert history.judge_in_batches(i, b).count() == 0
+    assert history.judge_in_batches(i, b, [5]).count() == 0
+
+
+def test_reopened_after_each_batch_and_after_a_crash(spark, tmp_path):
+    items, blobs = data(5)
+    b, path = spark.createDataFrame(blobs, BLOBS), f"file://{tmp_path}/index"
+    out, lower = set(), 0
+    for n, upper in enumerate((16, 32, 48, 64, 10_000)):
+        part = spark.createDataFrame([x for x in items if x[0] is None or lower < x[0] <= upper], ITEMS)
+        index = history.AcceptedIndex(spark, path, fan=2, per_group=150)
+        if n in (1, 3):  # the job is lost after it wrote its segment
+            commit, index._commit = index._commit, None
+            try:
+                index.judge(part, b)
+            except TypeError:
+                pass
+            assert commit.__self__.number == history.AcceptedIndex(spark, path).number
+            index = history.AcceptedIndex(spark, path, fan=2, per_group=150)
+        out |= {(r.kept_id, r.dup_id) for r in index.judge(part, b).collect()}
+        lower = upper
+    assert out == brute(items, blobs)
+    assert len(history.AcceptedIndex(spark, path).segments) < 5  # merged on the way
+
+
+def test_a_small_batch_does_not_shuffle_the_history(spark, tmp_path):
+    rng = random.Random(9)
+
+    def batch(lo, n):
+        rows = [(i, 1, f"e{i}", json.dumps({"text": " ".join(f"w{rng.randrange(5000)}" for _ in range(60))}), f"{i:064x}", None) for i in range(lo, lo + n)]
+        return spark.createDataFrame(rows, ITEMS)
+
+    def written():
+        return sum(e.totalShuffleWrite() for e in _executors(spark))
+
+    none, cost = spark.createDataFrame([], BLOBS), []
+    for n in (300, 3000):
+        path = f"file://{tmp_path}/history{n}"
+        history.AcceptedIndex(spark, path).judge(batch(1, n), none)
+        before = written()
+        assert history.AcceptedIndex(spark, path).judge(batch(100_000, 1), none, append=False).count() == 0
+        cost.append(written() - before)
+    assert cost[1] < 1.5 * cost[0] + 20_000, cost
+
+
+def _executors(spark):
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_loads_by_days(spark):
+    dates = ["2024-01-01", "2024-01-03", "2024-01-09", "2024-01-02", None, "2024-01-20", "2024-01-10"]
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(dates, 1)], "id long, collected_at string")
+    assert history.loads_by_days(rows, 7) == [2, 5]

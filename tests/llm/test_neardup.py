@@ -92,8 +92,21 @@ def test_long_runs_of_one_element_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(neardup, "CHUNK", 7)
     ids = np.arange(1, 31)
     h = np.concatenate([[np.uint64(5), np.uint64(100 + i)] for i in ids]).astype(np.uint64)
-    sketch, words = neardup.sketches(h, np.arange(0, 61, 2))
+    sketch, _ = neardup.sketches(h, np.arange(0, 61, 2))
+    entries = neardup.Entries(ids, np.full(30, 2), sketch, np.arange(30), np.full(30, 5, np.uint64), np.zeros(30, np.int64))
     cell = neardup.Cell()
-    cell.add(neardup.Cell.pack(ids, np.full(30, 2), sketch, words, np.full(30, 5, np.uint64), np.arange(30), np.zeros(30)), False)
+    cell.add(entries.packed(np.zeros(30, np.int64), False, True)[1][0])
     got = {(int(a), int(b)) for x, y in cell.pairs(1, 3) for a, b in zip(x, y, strict=True)}
     assert got == {(int(a), int(b)) for a in ids for b in ids if a < b}
+
+
+def test_hot_elements_meet_in_blocks(spark):
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(12)]
+    rows = [(i, " ".join(common[: rng.randint(8, 12)] + [rng.choice("xyz") + str(rng.randrange(4)) for _ in range(4)])) for i in range(90)]
+    t = spark.createDataFrame(rows, "k long, t string")
+    whole = {tuple(r) for r in neardup.NearDuplicates(t).pairs().collect()}
+    assert len(whole) > 90
+    for hot in (40, 7):
+        got = [tuple(r) for r in neardup.NearDuplicates(t, hot=hot).pairs().collect()]
+        assert set(got) == whole and len(got) == len(whole)
