@@ -46,6 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.neardup import PER_PARTITION, Entries, NearDuplicates, _rows, counter_blocks, element_counts, ranks_of
+from factloom.llm.sieve import Sieve
 from factloom.session import cut, scratch
 
 #: Groups read by name; a batch that touches more of a segment reads it whole.
@@ -114,33 +115,6 @@ def resolve(member: DataFrame, near: DataFrame, old: DataFrame | None = None) ->
         state = cut(now.select("id", (F.col("accepted") | (F.col("any") >= F.col("id"))).alias("accepted")))
 
 
-class Sieve:
-    """A bitmap of 64-bit hashes by their first bits: what fails it is not among them. At most 16 MB, whatever the batch."""
-
-    def __init__(self, hashes: DataFrame, column: str):
-        n = hashes.count()
-        self.bits = min(27, max(16, int(16 * n).bit_length()))
-        at = F.shiftrightunsigned(F.col(column), 64 - self.bits)
-        maps = hashes.select((at / 32768).cast("long").alias("b"), (at % 32768).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
-        data = np.zeros(1 << (self.bits - 3), np.uint8)
-        for r in maps.toLocalIterator():
-            data[r.b * 4096 : (r.b + 1) * 4096] = np.frombuffer(r.m, np.uint8)[: len(data)]
-        self.shared = hashes.sparkSession.sparkContext.broadcast(data.tobytes())
-
-    def hits(self, h: np.ndarray) -> np.ndarray:
-        at = (h.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)
-        return (np.frombuffer(self.shared.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-
-    def sifted(self, rows: DataFrame, column: str) -> DataFrame:
-        """The rows whose ``column`` passes."""
-
-        def each(batches):
-            for b in batches:
-                yield b.filter(pa.array(self.hits(b.column(column).to_numpy())))
-
-        return rows.mapInArrow(each, rows.schema)
-
-
 class AcceptedIndex:
     """The accepted items of all batches so far, in the folder ``path``; one job at a time may write to it."""
 
@@ -345,9 +319,9 @@ def judge_in_batches(items: DataFrame, blobs: DataFrame, ends: Sequence[int] = (
 def loads_by_days(items: DataFrame, days: int) -> list[int]:
     """The last ids of loads of ``days`` days each by ``collected_at``; ids stand in order of arrival, so an item whose date lies before its neighbours' stays in their load."""
     day = F.try_to_date(F.substring("collected_at", 1, 10))
-    first = items.agg(F.min(day).alias("d"))
-    load = F.floor(F.date_diff(day, F.col("d")) / days)
-    begins = items.crossJoin(F.broadcast(first)).filter("id is not null").groupBy(load.alias("load")).agg(F.min("id").alias("begin"))
+    first = items.agg(F.min(day).alias("d")).first().d
+    load = F.floor(F.date_diff(day, F.lit(first).cast("date")) / days)
+    begins = items.filter("id is not null").groupBy(load.alias("load")).agg(F.min("id").alias("begin"))
     rows = sorted((r.load, r.begin) for r in begins.filter("load > 0").collect())
     # a load begins where an item of it or of a later one first stands
     ends, least = [], None
