@@ -40,7 +40,7 @@ SEGMENTS = 8
 BUCKETS = 1 << 18
 _BLOCK = 1 << 12
 #: Pairs looked at together in a partition, first elements a partition is meant for, and sets of one element in a block.
-CHUNK, PER_PARTITION, HOT = 2_000_000, 1_500_000, 250_000
+CHUNK, PER_PARTITION, HOT = 500_000, 1_500_000, 250_000
 #: Ids of copies are broadcast up to this many rows (8 bytes each), else joined by shuffle.
 MOST_BROADCAST = 200_000
 
@@ -189,14 +189,15 @@ class Cell:
         key, doc, pos, side = key[order], doc[order], pos[order], side[order]
         new = np.flatnonzero(~old[doc])
         size, base = n[doc[new]], key[new] >> 32 << 32
-        most = np.minimum(size * den // num, (1 << 32) - 1)
+        room = n[doc] - pos
+        # neither twice as large (at one half) nor so large that what is left of the set is not enough
+        most = np.clip(np.minimum(size * den // num, room[new] * (num + den) // num - size), 0, (1 << 32) - 1)
         behind = np.searchsorted(key, base | most, side="right")
         lo, hi = np.searchsorted(key, (base + (1 << 32)) | -(-size * num // den)), np.searchsorted(key, (base + (1 << 32)) | most, side="right")
         left, start, count = np.concatenate([new, new]), np.concatenate([new + 1, lo]), np.concatenate([np.maximum(behind - new - 1, 0), np.maximum(hi - lo, 0)])
         some = np.flatnonzero(count)
         left, start, count = left[some], start[some], count[some]
         ends = np.cumsum(count)
-        room = n[doc] - pos
         for done in range(0, int(ends[-1]) if len(ends) else 0, CHUNK):
             upto = min(done + CHUNK, int(ends[-1]))
             rows = slice(int(np.searchsorted(ends, done, side="right")), int(np.searchsorted(ends, upto)) + 1)
@@ -215,11 +216,14 @@ class Cell:
             for w in np.unique(least).tolist():
                 at = np.flatnonzero(least == w)
                 p, q = a[at], b[at]
-                differ = np.zeros((len(at), SEGMENTS), np.float32)
+                budget = (den - num) / (den + num) * (n[p].astype(np.float64) + n[q])
+                differ = np.zeros((len(at), SEGMENTS), np.int32)
                 for i in range(w):
                     u = _folded(sketch, first, words, p, i, w) ^ _folded(sketch, first, words, q, i, w)
                     differ[:, i % SEGMENTS] += np.bitwise_count(u)
-                near = ring_chains(differ, ((den - num) / (den + num) * (n[p].astype(np.float64) + n[q])))
+                begin = np.flatnonzero(differ.min(axis=1) * SEGMENTS <= budget)  # chains of one segment
+                p, q = p[begin], q[begin]
+                near = ring_chains(differ[begin], budget[begin])
                 if len(near):
                     i, j = ids[p[near]], ids[q[near]]
                     yield np.minimum(i, j), np.maximum(i, j)
