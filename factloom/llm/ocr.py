@@ -61,6 +61,7 @@ FOREIGN = (
 
 _RUN = re.compile(r"(?:[^\W_]|(?<=[^\W\d_])»(?=к[а-яё]))+")
 _OWN = re.compile("[а-яё]+")
+_HYPHENATED = re.compile(r"(?<![\w-])[^\W\d_]+(?:-[^\W\d_]+)+(?![\w-])")
 _NUM = r"[\dоoзlб]{1,4}"
 _PAGE = re.compile(rf"^([^\d\W]*)\.?\s*({_NUM})(?:\s*[а-я]{{2}}\s*{_NUM})?$")
 _FRAMED = re.compile(rf"^(?:\[\s*{_NUM}\s*\]|[-—–]\s*{_NUM}\s*[-—–]|{_NUM}\s*/\s*{_NUM})$")
@@ -344,31 +345,36 @@ def compound(left: str, right: str, n: list[int], near: list[str], near_apart: l
     return any(len(p) == 2 and edit_distance(p[0], left, 1) <= 1 and edit_distance(p[1], right, 1) <= 1 for p in parts)
 
 
-def walk(lines: list[str], gone: set[int]):
+def runs_of(lines: list[str], gone: set[int]) -> dict[int, list[str]]:
+    """The runs of signs that make words, in lower case, of every line of text."""
+    return {i: _RUN.findall(x.lower()) for i, x in enumerate(lines) if i not in gone and x.strip()}
+
+
+def walk(lines: list[str], runs_in: dict[int, list[str]]):
     """Everything a text asks, as tuples (line, kind, word, left, right, begin, end, before, after), lines from 0.
 
     ``word``: a run to be looked up. ``break``: left and right are cut by a sign
     that may belong to the word. ``part``: if they are one word, the run from
     begin to end of it; ``half``: if they are not, a run of its own.
     """
-    shown = [i for i, x in enumerate(lines) if i not in gone and x.strip()]
-    signs = Counter(e[1] for i in shown if (e := _ending(lines[i])))
+    shown, ends = list(runs_in), {i: _ending(lines[i]) for i in runs_in}
+    signs = Counter(e[1] for e in ends.values() if e)
     style = signs.most_common(1)[0][0] if signs else "-"
     carried = None
     for n, i in enumerate(shown):
-        runs = [m[0] for m in _RUN.finditer(lines[i].lower())]
-        end, broken = _ending(lines[i]), None
+        runs, end, broken = runs_in[i], ends[i], None
         if end and n + 1 < len(shown):
             right, opens = _beginning(lines[shown[n + 1]]), lines[shown[n + 1]].strip()[:1]
             if right and (opens.islower() or not opens.isalpha() or lines[i].isupper()) and (end[1] == style or end[1] != "-"):
                 broken = (end[0], right)
                 yield i, "break", None, *broken, 0, 0, "", ""
+        last = len(runs) - 1
         for k, word in enumerate(runs):
-            before, after = runs[k - 1] if k else "", runs[k + 1] if k + 1 < len(runs) else ""
+            before, after = runs[k - 1] if k else "", runs[k + 1] if k < last else ""
             if k == 0 and carried:
                 yield i, "part", carried[0] + word, *carried, len(carried[0]), len(carried[0]) + len(word), before, after
                 yield i, "half", word, *carried, 0, 0, before, after
-            if k == len(runs) - 1 and broken:
+            if k == last and broken:
                 if not (k == 0 and carried):
                     yield i, "part", broken[0] + broken[1], *broken, 0, len(broken[0]), before, after
                 yield i, "half", word, *broken, 0, 0, before, after
@@ -416,8 +422,8 @@ def _cased(word: str, rights: dict[str, str]) -> str:
 
 
 # ---- tables -----------------------------------------------------------------
-def _documents(attachments: DataFrame, key: str, text: str) -> DataFrame:
-    """(kind, k, text, gone, heads, entry, n): kind -1 the texts with their furniture and headings; 0 words, 1 neighbours, 2 breaks with their counts in a batch."""
+def _documents(attachments: DataFrame, key: str, text: str, beside: bool) -> DataFrame:
+    """(kind, k, text, gone, heads, entry, n): kind -1 the texts with their furniture and headings; 0 words, 1 neighbours, 2 breaks with their counts in a batch; neighbours if ``beside`` says so."""
     rows = attachments.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).filter("k is not null and t != ''")
 
     def patterns(batches):
@@ -449,22 +455,21 @@ def _documents(attachments: DataFrame, key: str, text: str) -> DataFrame:
                 lines = t.split("\n")
                 gone = furniture(lines, said)
                 docs.append((k, t, sorted(gone), [i for i, at in said.items() if not at]))
-                cut_before = False
-                for i, line in enumerate(lines):
-                    if i in gone or not line.strip():
-                        continue
-                    low, end = line.lower(), _ending(line)
-                    runs = [m[0] for m in _RUN.finditer(low)]
-                    inner = runs[1 if cut_before else 0 : len(runs) - 1 if end else len(runs)]
-                    words.update(w for w in inner if not w.isdigit())
-                    words.update(re.findall(r"(?<![\w-])[^\W\d_]+(?:-[^\W\d_]+)+(?![\w-])", low))
-                    pairs.update(f"{a} {b}" for a, b in zip(inner, inner[1:]))  # noqa: B905
+                runs, cut_before = runs_of(lines, gone), False
+                for i, run in runs.items():
+                    end = _ending(lines[i])
+                    inner = run[1 if cut_before else 0 : len(run) - 1 if end else len(run)]
+                    words.update(inner)
+                    if "-" in lines[i]:
+                        words.update(_HYPHENATED.findall(lines[i].lower()))
+                    if beside:
+                        pairs.update(map(" ".join, zip(inner, inner[1:])))  # noqa: B905
                     cut_before = bool(end)
-                for x in walk(lines, gone):
+                for x in walk(lines, runs):
                     if x[1] == "break":
                         breaks[f"{x[3]}\n{x[4]}"] += 1
-                    elif x[1] == "word":
-                        words[x[2]] += 0  # asked, though not counted where a line end may have cut it
+                    elif x[1] == "word" and x[2] not in words:
+                        words[x[2]] = 0  # asked, though not counted where a line end may have cut it
             counted = [(n, e, c) for n, counts in enumerate((words, pairs, breaks)) for e, c in counts.items()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -614,18 +619,22 @@ def _answers(documents: DataFrame, rights: DataFrame, verdicts: DataFrame) -> Da
     sieve = Sieve(rights.select(F.xxhash64("word").alias("h")).distinct(), "h")
 
     def each(batches):
-        known: dict[str, bool] = {}
+        known: dict[str, tuple[bool, bool]] = {}
         for b in batches:
             out = []
             for k, text, gone in zip(*(b.column(c).to_pylist() for c in ("k", "text", "gone")), strict=True):
-                for line, kind, word, left, right, begin, end, before, after in walk(text.split("\n"), set(gone)):
-                    bad = kind != "break" and bad_by_make_up(kind, word, begin, end)
-                    if kind != "break" and not bad:
-                        if word not in known:
+                lines = text.split("\n")
+                for line, kind, word, left, right, begin, end, before, after in walk(lines, runs_of(lines, set(gone))):
+                    bad = False
+                    if kind == "part":
+                        bad = bad_by_make_up(kind, word, begin, end)
+                    if kind != "break":
+                        if word not in known:  # may be found misread, is misread by its make-up
                             if len(known) > 200_000:
                                 known.clear()
-                            known[word] = bool(sieve.hit(xxhash.xxh64_intdigest(word.encode(), 42)))
-                        if not known[word]:
+                            known[word] = (sieve.hit(xxhash.xxh64_intdigest(word.encode(), 42)), bad_by_make_up("word", word, 0, 0))
+                        bad = bad or (kind != "part" and known[word][1])
+                        if not bad and not known[word][0]:
                             continue
                     out.append((k, line, kind, word, left, right, begin, end, before, after, bad))
             types = (pa.int64(), pa.int32(), *[pa.string()] * 4, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_())
@@ -645,7 +654,7 @@ def scan_noise(attachments: DataFrame, key: str = "id", text: str = "ocr_text")
 
     Null and empty texts give nothing; a repeated key counts once.
     """
-    documents = _documents(attachments, key, text)
+    documents = _documents(attachments, key, text, False)
     rights, verdicts, _ = _tables(documents)
     x = _answers(documents, rights, verdicts)
     out = x.select("k", "line", F.when(F.col("kind") == "break", "join").when(F.col("misread"), "char").alias("kind")).filter("kind is not null").distinct()
@@ -658,7 +667,7 @@ def running_text(attachments: DataFrame, key: str = "id", text: str = "ocr_text"
 
     Where a misread word may be several, the one that stands most often beside its neighbours is taken, then the most frequent.
     """
-    documents = _documents(attachments, key, text)
+    documents = _documents(attachments, key, text, True)
     rights, verdicts, pairs = _tables(documents)
     x = cut(_answers(documents, rights, verdicts))
     joins = x.filter("kind = 'break'").groupBy("k").agg(F.collect_set("line").alias("joins"))
