@@ -189,6 +189,42 @@ def neighbours(docs: DataFrame, queries: DataFrame | None = None, threshold: flo
     return top_per(out, ["id"], [F.col("score").desc(), F.col("neighbour").desc()], k)
 
 
+def alike(docs: DataFrame, threshold: float) -> DataFrame:
+    """(id, neighbour), id < neighbour, of all ``docs`` (id, text, kind) of one kind whose TF-IDF cosine (four places) is ``threshold`` or more.
+
+    A prefix filter on weights: terms stand in order of their frequency, rare
+    ones first; a document's terms behind the first ones weigh less than the
+    threshold together (their squares less than its square, all being of length
+    1), so two documents that are alike share one of the first of both. Only
+    first terms meet, and pairs are then verified with the whole vectors.
+    """
+    spark = docs.sparkSession
+    n = docs.count()
+    w = _words(docs.filter("text is not null").select("id", "kind", "text"), 2)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, term, tf = _counted(b["w"], True)
+            yield pa.RecordBatch.from_pydict({"id": b["id"].to_numpy()[row], "term": term, "tf": tf.astype(np.int64)})
+
+    t = cut(w.select("id", "w").mapInArrow(counted, "id long, term long, tf long"))
+    df = t.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    x = t.join(df, "term").select("id", F.struct("df", "term", (F.col("tf") * (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1)).alias("x")).alias("t"))
+    v = x.groupBy("id").agg(F.array_sort(F.collect_list("t")).alias("t")).join(docs.select("id", "kind"), "id")
+    v = v.withColumn("norm", F.sqrt(F.aggregate("t", F.lit(0.0), lambda a, y: a + y["x"] * y["x"])))
+    v = cut(v.select("id", "kind", F.transform("t", lambda y: F.struct(y["df"].alias("df"), y["term"].alias("term"), (y["x"] / F.col("norm")).alias("w"))).alias("t")))
+    # the weight behind each term, from the end; what is kept is where it is still enough
+    behind = F.transform("t", lambda y, i: F.struct(y["df"].alias("df"), y["term"].alias("term"), F.aggregate(F.slice("t", i + 1, F.size("t")), F.lit(0.0), lambda a, z: a + z["w"] * z["w"]).alias("rest")))
+    least = (threshold - SLACK) ** 2
+    first = v.select("id", "kind", F.explode(F.filter(behind, lambda y: (y["rest"] >= least) & (y["df"] > 1))).alias("t")).select("id", "kind", "t.term")
+    pairs = first.join(first.select(F.col("id").alias("neighbour"), "kind", "term"), ["kind", "term"]).filter("id < neighbour").select("id", "neighbour").distinct()
+    a, b = v.select("id", F.col("t").alias("ta")), v.select(F.col("id").alias("neighbour"), F.col("t").alias("tb"))
+    both = pairs.join(a, "id").join(b, "neighbour")
+    other = F.map_from_entries(F.transform("tb", lambda y: F.struct(y["term"], y["w"])))
+    dot = F.aggregate("ta", F.lit(0.0), lambda s, y: s + y["w"] * F.coalesce(F.try_element_at(F.col("m"), y["term"]), F.lit(0.0)))
+    return both.withColumn("m", other).withColumn("score", F.round(dot, 4)).filter(F.col("score") >= threshold).select("id", "neighbour")
+
+
 def searches(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75, most_queries: int = PASS) -> DataFrame:
     """(query_id, id, score, rank): for each of ``queries`` (query_id, text) the ``k`` best of ``docs`` (id, text) that have all its words.
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.plans import core_problems, extraction, reference
+from factloom.plans import core_problems, extraction, reference, verification
 
-MODULES = (core_problems, reference, extraction)
+MODULES = (core_problems, reference, extraction, verification)
 
 
 def queries() -> dict:

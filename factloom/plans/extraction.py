@@ -9,20 +9,11 @@ from factloom.functions import text
 from factloom.functions.scores import jaccard
 from factloom.operators import extraction, graph, relational, similarity
 from factloom.plans.reference import contract_pairs
+from factloom.plans.registry import Registry
 from factloom.session import table
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
+query = Registry()
+QUERIES, ORACLE = query.queries, query.oracle
 
 
 CLAIMS = (("vote", "проголосовали [0-9]+"), ("money", "[0-9]+ (?:млн|тысяч) рублей"), ("statement", "» ?,? — "), ("document", "Документ № "))

@@ -10,20 +10,11 @@ from pyspark.sql import functions as F
 
 from factloom.functions import scores, text
 from factloom.operators import blocks, graph, quality, relational, search, similarity
+from factloom.plans.registry import Registry
 from factloom.session import table
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
+query = Registry()
+QUERIES, ORACLE = query.queries, query.oracle
 
 
 # ---- scans, joins, pairs ----------------------------------------------------
