@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.plans import core_problems, extraction, reference, verification
+from factloom.plans import classification, core_problems, extraction, network, reference, verification
 
-MODULES = (core_problems, reference, extraction, verification)
+MODULES = (core_problems, reference, extraction, verification, network, classification)
 
 
 def queries() -> dict:
