@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.plans import classification, core_problems, extraction, network, reference, verification
+from factloom.plans import classification, core_problems, events, extraction, network, reference, verification
 
-MODULES = (core_problems, reference, extraction, verification, network, classification)
+MODULES = (core_problems, reference, extraction, verification, network, classification, events)
 
 
 def queries() -> dict:
