@@ -63,6 +63,10 @@ def split_words(texts: list[str | None]) -> list[list[str]]:
     return [(full if o else simple).findall(t) if t else [] for t, o in zip(texts, strange.tolist(), strict=True)]
 
 
+#: Pairs of tokens remembered by a process, some 100 bytes each.
+MOST_NEIGHBOURS = 1_000_000
+
+
 class TrieEncoder:
     """Ids of words by a walk over the trie of the words' bytes."""
 
@@ -100,6 +104,8 @@ class TrieEncoder:
         """Whether token b can follow token a in an encoding (a < 0: can begin one)."""
         known = self.neighbours.get((a, b))
         if known is None:
+            if len(self.neighbours) >= MOST_NEIGHBOURS:
+                self.neighbours.clear()
             want = [b] if a < 0 else [a, b]
             known = self.neighbours[a, b] = self.merged(b"".join(self.tokens[t] for t in want)) == want
         return known

@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.textarrays import code_points, slices, word_hashes
-from factloom.llm.uniform import LOOK_ALIKES, uniform_points
+from factloom.llm.textarrays import code_points, gather, slices, word_hashes
+from factloom.llm.uniform import LOOK_ALIKES, uniform_points, uniform_sql
 
 #: Words of test items in one pass over the documents (16 bytes each in the broadcast).
 MOST_ITEM_WORDS = 2_000_000
+#: Hits (a place of a document, a piece of an item) verified together.
+MOST_PLACES = 1_000_000
 
 
 @functools.lru_cache(maxsize=1)
@@ -57,6 +59,13 @@ def caseless() -> np.ndarray:
     return root
 
 
+def oracle_form(text: str) -> str:
+    """SQL of a column's text with one letter for all that are equal here."""
+    root, form = caseless(), uniform_sql(text)
+    pairs = sorted({(c, chr(root[ord(c)])) for x, y in LOOK_ALIKES for c in (x + y).lower() if root[ord(c)] != ord(c)})
+    return f"translate(lower({form}), '{''.join(a for a, _ in pairs)}', '{''.join(b for _, b in pairs)}')"
+
+
 def compared_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words as they are compared, and the n+1 word offsets; a mark belongs to its letter's word."""
     cp, offsets = uniform_points(*code_points(texts))
@@ -105,8 +114,21 @@ class Items:
         if not len(hit):
             return none
         n = hi[hit] - lo[hit]
-        place = np.repeat(hit, n)
-        piece = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[hit], n)
+        ends, found = np.cumsum(n), []
+        for done in range(0, int(ends[-1]), MOST_PLACES):  # a piece that many items share is met in parts
+            upto = min(done + MOST_PLACES, int(ends[-1]))
+            rows = slice(int(np.searchsorted(ends, done, side="right")), int(np.searchsorted(ends, upto)) + 1)
+            begin = ends[rows] - n[rows]
+            skip = np.maximum(done - begin, 0)
+            take = np.minimum(upto - begin, n[rows]) - skip
+            place = np.repeat(hit[rows], take)
+            piece = gather(lo[hit[rows]] + skip, take)
+            found.append(self._held(ids, per_text, place, piece))
+        pairs = np.unique(np.concatenate(found))
+        return pairs // len(self.keys), pairs % len(self.keys)
+
+    def _held(self, ids: np.ndarray, per_text: np.ndarray, place: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """text * items + item of the hits (a place of a document, a piece of an item) around which a window of the item stands."""
         text = np.searchsorted(per_text, place, side="right") - 1
         inside = place + self.piece <= per_text[text + 1]
         place, piece, text = place[inside], piece[inside], text[inside]
@@ -118,8 +140,7 @@ class Items:
             if len(todo):
                 near = self.myers(ids, window[todo], place[todo] - shift - self.errors, per_text[text[todo]], per_text[text[todo] + 1])
                 found[todo[near <= self.errors]] = True
-        pairs = np.unique(text[found] * len(self.keys) + self.item[piece[found]])
-        return pairs // len(self.keys), pairs % len(self.keys)
+        return np.unique(text[found] * len(self.keys) + self.item[piece[found]])
 
     def myers(self, ids: np.ndarray, window: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Least edit distance of each item window to any stretch of the document around ``at``."""

@@ -43,7 +43,7 @@ LEAST_RATE, LEAST_WORDS = 2e-4, 3
 #: A pattern of lines counts if so many documents have it; it names furniture if the one share of it or more stands at page edges, text if the other or less.
 LEAST_DOCUMENTS, AT_EDGES, INSIDE = 5, 0.6, 0.3
 #: Words in a shard of the trie, and words looked up by one task.
-SHARD, ASKED = 100_000, 10_000
+SHARD, ASKED = 100_000, 2_000
 
 # Signs of hyphenation at a line's end.
 HYPHENS = "-­¬‐‑"

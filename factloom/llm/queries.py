@@ -14,6 +14,11 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return uniform.same_look_pairs(table(spark, d, "documents"))
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document of a look with several writings, by look and writing."""
+    return uniform.look_classes(table(spark, d, "documents")).withColumnRenamed("k", "doc_id")
+
+
 def p10_uniform(spark: SparkSession, d: str) -> DataFrame:
     """Every document in uniform form."""
     return uniform.add_uniform(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "uniform_text")
@@ -126,7 +131,7 @@ def p9_edited(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "benchmark"), words=16, errors=2)
 
 
-QUERIES = {"p6_found": p6_found, "p6_text": p6_text, "p5_found": p5_found, "p5_agreement": p5_agreement, "p3_found": p3_found, "p3_bulk": p3_bulk, "p7_found": p7_found, "p7_classes": p7_classes, "p1_found": p1_found, "p1_blocks": p1_blocks, "p1_clean": p1_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p9_edited": p9_edited, "p10_found": p10_found, "p10_uniform": p10_uniform}
+QUERIES = {"p6_found": p6_found, "p6_text": p6_text, "p5_found": p5_found, "p5_agreement": p5_agreement, "p3_found": p3_found, "p3_bulk": p3_bulk, "p7_found": p7_found, "p7_classes": p7_classes, "p1_found": p1_found, "p1_blocks": p1_blocks, "p1_clean": p1_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p9_edited": p9_edited, "p10_found": p10_found, "p10_uniform": p10_uniform, "p10_classes": p10_classes}
 _LINE = r"trim(regexp_replace(regexp_replace(lower(line), '[\s\p{Z}]+', ' ', 'g'), '\p{Nd}+', '0', 'g'))"
 _HOT = f"""
 with items as (select distinct id, source_id, body_text from content_items where body_text <> '' and source_id is not null),
@@ -153,4 +158,21 @@ n as (select id, count(*) as n from g group by 1),
 c as (select a.id as x, b.id as y, count(*) as c from g a join g b on a.s = b.s and a.id < b.id group by 1, 2)
 select x as id_a, y as id_b from c join n p on p.id = x join n q on q.id = y where c * 3 >= p.n + q.n"""
 
-ORACLE = {"p7_found": _P7, "p1_found": _P1, "p1_blocks": _P1_BLOCKS, "p1_clean": _P1_CLEAN, "p10_found": uniform.oracle()}
+_P7_CLASSES = rf"""
+with t as (select id, regexp_extract_all(lower(coalesce(title, '') || ' ' || body_text), '[\p{{L}}\p{{N}}]+') as w from content_items where body_text <> ''),
+g as (select distinct id, hash(w[i] || ' ' || w[i+1] || ' ' || w[i+2]) as s from (select id, w, unnest(range(1, len(w) - 1)) as i from t)),
+k as (select id, md5(list_sort(list(s))::varchar) as k, count(*) as n from g group by 1), m as (select k, min(id) as class_id, any_value(n) as n from k group by 1), r as (select g.id, g.s from g join m on m.class_id = g.id),
+c as (select a.id as x, b.id as y, count(*) as c from r a join r b on a.s = b.s and a.id <> b.id group by 1, 2), l as (select x, count(*) as links from c join m p on p.class_id = x join m q on q.class_id = y where c * 3 >= p.n + q.n group by 1)
+select k.id as content_item_id, m.class_id, coalesce(l.links, 0) as links from k join m using (k) left join l on l.x = m.class_id"""
+_P10_CLASSES = f"""
+with t as (select distinct doc_id, text, {uniform.uniform_sql("text")} as look from documents where text is not null), s as (select * from t where regexp_matches(look, '\\S')),
+w as (select look, text, min(doc_id) as writing_id from s group by 1, 2), n as (select look, min(writing_id) as look_id, count(*) as writings from w group by 1 having count(*) > 1)
+select s.doc_id, n.look_id, w.writing_id, n.writings from s join n using (look) join w using (look, text)"""
+_WORDS = f"regexp_extract_all({leaks.oracle_form('text')}, '[\\p{{L}}\\p{{N}}]+')"
+_P9 = rf"""
+with i as (select distinct item_id, {_WORDS} as w from benchmark where text is not null), d as (select distinct doc_id, {_WORDS} as w from documents where text is not null),
+a as (select distinct item_id, md5(array_to_string(list_slice(w, k, k + 11), ' ')) as h from (select item_id, w, unnest(range(1, len(w) - 10)) as k from i)),
+b as (select doc_id, md5(array_to_string(list_slice(w, k, k + 11), ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 10)) as k from d))
+select distinct item_id, doc_id from a join b using (h)"""
+
+ORACLE = {"p7_found": _P7, "p1_found": _P1, "p1_blocks": _P1_BLOCKS, "p1_clean": _P1_CLEAN, "p10_found": uniform.oracle(), "p10_classes": _P10_CLASSES, "p9_found": _P9, "p7_classes": _P7_CLASSES}

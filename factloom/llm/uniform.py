@@ -30,7 +30,9 @@ LOOK_ALIKES = (
     ("АВЕЅІЈКМНОРСТУХԌԚԜҺ", "ABESIJKMHOPCTYXGQWh"),
     ("аеѕіјорсухԛԝһԁ", "aesijopcyxqwhd"),
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),
-    ("ο", "o"),
+    ("ονρα", "ovpa"),
+    ("Ӏӏ", "Il"),
+    ("օսհոցզՕՍ", "ouhngqOU"),
 )
 # Characters without a look of their own.
 INVISIBLE = "­͏؜᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
@@ -248,8 +250,22 @@ def same_look_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text
     return out.select(F.least("ka", "kb").alias("doc_a"), F.greatest("ka", "kb").alias("doc_b"))
 
 
-def oracle() -> str:
-    """The same pairs in SQL, for the mappings of single composed characters."""
+def look_classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(k, look_id, writing_id, writings): every document of a look with several writings, with the least keys of its look and of its writing.
+
+    One row a document, whatever the number of pairs: two documents are a pair
+    if they have one look_id and different writing_ids. Null and blank texts are
+    in no class; repeated rows count once.
+    """
+    d = cut(look_digests(documents, key, text).distinct())
+    w = d.groupBy("look", "writing").agg(F.min("k").alias("writing_id"))
+    n = w.groupBy("look").agg(F.min("writing_id").alias("look_id"), F.count(F.lit(1)).alias("writings")).filter("writings > 1")
+    return d.join(n, "look").join(w, ["look", "writing"]).select("k", "look_id", "writing_id", "writings")
+
+
+@functools.lru_cache(maxsize=4)
+def uniform_sql(text: str) -> str:
+    """SQL of the uniform form of a column, for the mappings of single composed characters."""
     m = mappings()
     single = {i: to[0] for i, to in m.items() if len(to) == 1 and not 0xD800 <= i < 0xE000}
     alike = {a: b for x, y in LOOK_ALIKES for a, b in zip(x, y, strict=True)}
@@ -261,7 +277,12 @@ def oracle() -> str:
     pairs = [(chr(i), chr(o)) for i, o in sorted(single.items()) if i != o and chr(o) != "'"]
     gone = "".join(chr(i) for i, to in m.items() if not to and i < 0xFFFF)
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    form = f"nfc_normalize(translate(nfc_normalize(text), {q(''.join(a for a, _ in pairs) + gone)}, {q(''.join(b for _, b in pairs))}))"
+    return f"nfc_normalize(translate(nfc_normalize({text}), {q(''.join(a for a, _ in pairs) + gone)}, {q(''.join(b for _, b in pairs))}))"
+
+
+def oracle() -> str:
+    """The same pairs in SQL, for the mappings of single composed characters."""
+    form = uniform_sql("text")
     return f"""
 with t as (select distinct doc_id, text, {form} as look from documents where text is not null)
 select distinct least(a.doc_id, b.doc_id) as doc_a, greatest(a.doc_id, b.doc_id) as doc_b

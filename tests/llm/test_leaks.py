@@ -67,3 +67,12 @@ def test_several_passes_give_the_same(spark, monkeypatch):
     one = {(r.item_id, r.doc_id) for r in leaks.leaked_items(d, b).collect()}
     monkeypatch.setattr(leaks, "MOST_ITEM_WORDS", 200)
     assert {(r.item_id, r.doc_id) for r in leaks.leaked_items(d, b).collect()} == one and one
+
+
+def test_a_piece_that_many_items_share_in_parts(spark, monkeypatch):
+    words = [f"w{i}" for i in range(12)]
+    items = spark.createDataFrame([(i, " ".join([*words, f"x{i}"])) for i in range(30)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(["a", *words, "b"] * 3)) for k in range(4)], "doc_id long, text string")
+    for most in (1_000_000, 7):
+        monkeypatch.setattr(leaks, "MOST_PLACES", most)
+        assert leaks.leaked_items(docs, items).count() == 120

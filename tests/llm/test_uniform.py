@@ -44,6 +44,8 @@ def test_pairs(spark):
     assert {(r.doc_a, r.doc_b) for r in uniform.same_look_pairs(d).collect()} == {(1, 2), (2, 3)}
     assert uniform.same_look_pairs(d).count() == 2
     assert uniform.same_look_pairs(d.limit(0)).count() == 0
+    assert {tuple(r) for r in uniform.look_classes(d).collect()} == {(1, 1, 1, 2), (2, 1, 2, 2), (3, 1, 1, 2)}
+    assert uniform.look_classes(d.limit(0)).count() == 0
     assert {r.doc_id: r.uniform_text for r in uniform.add_uniform(d, "text").collect()}[4] is None
 
 
