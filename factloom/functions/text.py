@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = r"[\p{L}\p{N}_]+"
+# Hosts that stand for none; tokens of a title's and a body's signature; the longest slug.
+PLACEHOLDERS, TITLE_TOKENS, BODY_TOKENS, SLUG = ("telegram-export", "unknown"), 14, 32, 80
 
 
 @F.pandas_udf(T.StringType())
@@ -16,10 +18,19 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC")
 
 
-def clean_text(c: Column, normalise: bool = False) -> Column:
-    """White space collapsed and trimmed; null gives ''. ``normalise`` adds NFKC (Python)."""
-    c = nfkc(c) if normalise else c
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s ]+", " "))
+# Fixed value: what compatibility normalisation leaves as it is, or what is mapped here without Python.
+_PLAIN = r"\x{00}-\x{7F}\x{A0}\x{A7}\x{AB}\x{B0}\x{B7}\x{BB}\x{0400}-\x{04FF}\x{2012}-\x{2015}\x{2018}-\x{201E}\x{2116}"
+
+
+def spaced(c: Column) -> Column:
+    """White space collapsed and trimmed; null gives ''."""
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s\x{A0}]+", " "))
+
+
+def clean_text(c: Column) -> Column:
+    """NFKC, white space collapsed and trimmed; null gives ''. Only texts with rare signs go through Python."""
+    rare = nfkc(F.when(c.rlike(f"[^{_PLAIN}]"), c))
+    return spaced(F.coalesce(rare, F.regexp_replace(c, "№", "No")))
 
 
 def tokens(c: Column) -> Column:
@@ -32,7 +43,7 @@ def normalize_text(c: Column) -> Column:
     return F.array_join(tokens(F.regexp_replace(low, r"https?://\S+", " ")), " ")
 
 
-def slugify(c: Column, fallback: str = "item", max_len: int = 80) -> Column:
+def slugify(c: Column, fallback: str = "item", max_len: int = SLUG) -> Column:
     s = F.substring(F.regexp_replace(normalize_text(c), " ", "-"), 1, max_len)
     return F.when(s == "", fallback).otherwise(s)
 
@@ -41,12 +52,12 @@ def first_tokens(c: Column, n: int) -> Column:
     return F.array_join(F.slice(tokens(normalize_text(c)), 1, n), " ")
 
 
-def title_signature(title: Column, body: Column, n: int = 14) -> Column:
+def title_signature(title: Column, body: Column, n: int = TITLE_TOKENS) -> Column:
     t = first_tokens(title, n)
     return F.when(t != "", t).otherwise(first_tokens(body, n))
 
 
-def body_signature(body: Column, n: int = 32) -> Column:
+def body_signature(body: Column, n: int = BODY_TOKENS) -> Column:
     return first_tokens(body, n)
 
 
@@ -69,15 +80,15 @@ def parse_money(c: Column) -> Column:
 
 
 def source_host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(clean_text(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
+    return F.lower(F.regexp_extract(spaced(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
 
 
 def normalized_domain(url: Column) -> Column:
-    """Host with a scheme supplied, ``www.`` stripped; null for placeholders and names without a dot that are no address."""
+    """Host with a scheme supplied, ``www.`` stripped; null for placeholders and names without a dot that are no address (an IPv6 one stands in brackets)."""
     raw = F.trim(url)
     full = F.when(raw.contains("://"), raw).otherwise(F.concat(F.lit("https://"), raw))
     host = F.regexp_replace(F.lower(F.trim(F.regexp_extract(full, r"^[^:]*://([^/?#]*)", 1))), r"^www\.", "")
-    bad = (host == "") | host.startswith("source:") | host.isin("telegram-export", "unknown") | ~host.contains(".")
+    bad = (host == "") | host.startswith("source:") | host.isin(*PLACEHOLDERS) | ~(host.contains(".") | host.rlike(r"^\[[0-9a-f:.]+\](?::\d+)?$"))
     return F.when(~bad, host)
 
 
@@ -89,7 +100,7 @@ def parse_date(c: Column) -> Column:
 
 
 def first_sentence(c: Column, limit: int = 180) -> Column:
-    s = F.element_at(F.split(clean_text(c), r"(?<=[.!?])\s+", 2), 1)
+    s = F.element_at(F.split(spaced(c), r"(?<=[.!?])\s+", 2), 1)
     return F.when(F.length(s) <= limit, s).otherwise(F.concat(F.rtrim(F.substring(s, 1, limit - 1)), F.lit("…")))
 
 
@@ -102,14 +113,22 @@ def normalized_tag(c: Column) -> Column:
     return F.when(F.locate("/", c) > 0, F.substr(c, F.locate("/", c) + 1)).when(F.locate(":", c) > 0, F.substr(c, F.locate(":", c) + 1)).otherwise(c)
 
 
-def canonical_claim(c: Column, kind: Column | None = None, stop: tuple[str, ...] = ()) -> Column:
-    """One form of a sentence: lower, no quotes, no closing marks; null under three words (four for statements) or in ``stop``."""
+def canonical_form(c: Column) -> Column:
+    """A sentence in lower case, without quotes and closing marks."""
     t = F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), "ё", "е"), r"\s+", " "))
     t = F.regexp_replace(F.regexp_replace(t, "[«»\"“”„]", ""), "[.,;:!?…]+$", "")
-    t = F.trim(F.regexp_replace(t, r"\s+", " "))
-    n = F.size(F.regexp_extract_all(t, F.lit(r"([\p{L}\p{N}_-]+)"), 1))
+    return F.trim(F.regexp_replace(t, r"\s+", " "))
+
+
+def claim_words(c: Column) -> Column:
+    return F.size(F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}_-]+)"), 1))
+
+
+def canonical_claim(c: Column, kind: Column | None = None, stop: tuple[str, ...] = ()) -> Column:
+    """One form of a sentence; null under three words (four for statements) or in ``stop``."""
+    t = canonical_form(c)
     least = F.lit(3) if kind is None else F.when(kind == "public_statement", 4).otherwise(3)
-    ok = n >= least
+    ok = claim_words(t) >= least
     return F.when(ok & ~t.isin(*stop) if stop else ok, t)
 
 

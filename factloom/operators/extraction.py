@@ -6,10 +6,12 @@ import difflib
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.operators.relational import numbered
+
 
 def typed_sentences(docs: DataFrame, patterns: Sequence[tuple[str, str]], least: int = 25, most: int = 700) -> DataFrame:
     """(id, kind, sentence): sentences of (id, text) that a kind's pattern matches, each once a kind and whole text.
@@ -51,11 +53,11 @@ def first_of(value: Column, when: Column, *order: Column) -> Column:
 
 def event_groups(items: DataFrame, group: str, official: Column, order: Sequence[str]) -> DataFrame:
     """(group, item, sort_order, role): timelines of groups; the first item that is not official is the origin, official ones are documents, the rest updates."""
-    w = Window.partitionBy(group).orderBy(*order)
-    d = items.withColumn("_o", F.coalesce(official, F.lit(False))).withColumn("sort_order", F.row_number().over(w) - 1)
-    d = d.withColumn("_first", F.min(F.when(~F.col("_o"), F.col("sort_order"))).over(Window.partitionBy(group)))
+    d = numbered(items.withColumn("_o", F.coalesce(official, F.lit(False))), group, order, "sort_order")
+    first = d.filter(~F.col("_o")).groupBy(F.col(group).alias("_g")).agg(F.min("sort_order").alias("_first"))
+    d = d.join(first, F.col(group).eqNullSafe(F.col("_g")), "left").withColumn("sort_order", F.col("sort_order").cast("int"))
     role = F.when(F.col("_o"), "official_doc").when(F.col("sort_order") == F.col("_first"), "origin").otherwise("update")
-    return d.withColumn("role", role).drop("_o", "_first")
+    return d.withColumn("role", role).drop("_o", "_first", "_g")
 
 
 def sync_state(items: DataFrame, source: str, key: str, ts: str) -> DataFrame:

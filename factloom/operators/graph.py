@@ -81,17 +81,43 @@ def best_bridge(pairs: DataFrame, bridges: DataFrame, group: str, member: str, c
     return best.select("a", "b", "m.via", "m.cost")
 
 
-def communities(edges: DataFrame, a: str = "a", b: str = "b", most_nodes: int = 15_000) -> DataFrame:
+def communities(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 20) -> DataFrame:
+    """(id, community) by label propagation, the same at every size: ends after ``most_rounds`` rounds, or when no label changes.
+
+    In a round every vertex takes the label that most of its neighbours and
+    itself bear, of equally frequent ones the least. Rounds go by turns over
+    vertices of even and odd hashes, so two labels never swap for ever. A round
+    is two aggregations by (vertex, label); a community is named by its least id.
+    """
+    e = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).dropna().filter("u != v").distinct()
+    links = cut(either_end(e, "u", "v"))
+    at = cut(links.select(F.col("this").alias("id")).distinct().withColumn("label", F.col("id")))
+    still = 0
+    for turn in range(2 * most_rounds):
+        mine = at.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == turn % 2)
+        near = links.join(at.select(F.col("id").alias("other"), "label"), "other").select(F.col("this").alias("id"), "label")
+        votes = near.join(mine.select("id"), "id", "left_semi").unionByName(mine).groupBy("id", "label").agg(F.count(F.lit(1)).alias("n"))
+        best = votes.groupBy("id").agg(F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("m")).select("id", (-F.col("m.l")).alias("new"))
+        now = cut(at.join(best, "id", "left").select("id", F.coalesce("new", "label").alias("label"), (F.coalesce("new", "label") != F.col("label")).alias("moved")))
+        still = 0 if now.filter("moved").take(1) else still + 1
+        at = now.drop("moved")
+        if still == 2:
+            break
+    names = at.groupBy("label").agg(F.min("id").alias("community"))
+    return at.join(names, "label").select("id", "community")
+
+
+def greedy_communities(edges: DataFrame, a: str = "a", b: str = "b", most_nodes: int = 15_000) -> DataFrame:
     """(id, community) by greedy modularity: the pair of groups whose union gains most is joined, while any gains.
 
-    The asked semantics hold up to ``most_nodes`` vertices, which is checked
-    before anything is collected; beyond, each connected component is one community.
+    For small graphs: beyond ``most_nodes`` vertices or twenty times as many
+    edges, which is checked before anything is collected, it refuses.
     A community is named by its least id.
     """
     e = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).dropna().filter("u != v").distinct()
     e = cut(e)
     if e.select(F.explode(F.array("u", "v")).alias("id")).distinct().count() > most_nodes or e.count() > 20 * most_nodes:
-        return components(e, "u", "v").withColumnRenamed("component", "community")
+        raise ValueError(f"more than {most_nodes} vertices or {20 * most_nodes} edges: use communities")
     links: dict[int, dict[int, float]] = {}
     m = 0
     for r in e.toLocalIterator():

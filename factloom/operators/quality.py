@@ -21,7 +21,8 @@ def rule_scores(docs: DataFrame, rules: list[tuple[str, list[tuple[str, float]],
     A pattern of a phrase or with digits may stand anywhere, one of two letters
     must be a word, one of up to four must begin one.
     """
-    text = F.lower(F.coalesce("text", F.lit("")))
+    docs = docs.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("_t"))
+    text = F.col("_t")  # in lower case once, not in every pattern
 
     def found(p: str) -> Column:
         if " " in p or any(c.isdigit() for c in p) or len(p) > 4:

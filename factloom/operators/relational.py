@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.session import cut, parallelism
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
     """``old`` with the rows of ``new`` put in: the last by ``order`` wins among new rows of one key.
@@ -48,6 +50,30 @@ def merge_entities(mentions: DataFrame, merges: DataFrame, cap: float = 0.85) ->
     return best.select("entity_id", "content_item_id", F.col("b.confidence").alias("confidence"))
 
 
+def merged_aliases(entities: DataFrame, merges: DataFrame) -> DataFrame:
+    """(entity_id, alias): the names under which merged entities (from_id, to_id) are still found, each once."""
+    e = entities.select(F.col("id").alias("from_id"), F.col("canonical_name").alias("alias"))
+    return merges.join(e, "from_id").filter("alias is not null").select(F.col("to_id").alias("entity_id"), "alias").distinct()
+
+
+def numbered(df: DataFrame, group: str, order: Sequence[str], name: str = "position") -> DataFrame:
+    """Adds ``name``: a row's place (from 0) in its group by ``order``, which must be total.
+
+    The table is parted by ranges of (group, order) and numbered within parts;
+    the parts before are added as offsets. A group of any size is as many parts
+    as it needs, never one task's sort.
+    """
+    n = parallelism(df.sparkSession)
+    parts = cut(df.repartitionByRange(n, group, *order).withColumn("_part", F.spark_partition_id()))
+    w = Window.partitionBy("_part", group).orderBy(*order)
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy("_part", group).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    x = parts.withColumn("_row", F.row_number().over(w) - 1)
+    sizes = sizes.withColumnsRenamed({"_part": "_p", group: "_g"})
+    x = x.join(sizes, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
+    return x.withColumn(name, F.col("_before") + F.col("_row")).drop("_part", "_row", "_before", "_p", "_g")
+
+
 def member_pairs(members: DataFrame, group: str, member: str, max_group: int | None = None, extra: Sequence[str] = ()) -> DataFrame:
     """(group, a, b) with a < b of all members of a group, each pair once a group.
 
@@ -124,15 +150,23 @@ def round_robin(df: DataFrame, group: str, order: Sequence[Column], limit: int)
 
 
 def quota_sample(df: DataFrame, bucket: str, key: str, quotas: dict[str, int] | int, total: int, seed: str) -> DataFrame:
-    """Quotas a bucket (one number for all, or by name) by a stable rank (hash of seed and key), then filled up from the rest by the same rank."""
+    """Quotas a bucket (one number for all, or by name) by a stable rank (hash of seed and key), then filled up from the rest by the same rank.
+
+    Buckets are cut to their quotas before any of them is sorted whole, and the
+    rest is a top-k, so a bucket of a third of all rows is never one task's.
+    """
     r = df.withColumn("_h", F.sha2(F.concat(F.lit(seed + ":"), F.col(key).cast("string")), 256))
-    w = Window.partitionBy(bucket).orderBy("_h", key)
-    if isinstance(quotas, int):
-        limit = F.lit(quotas)
-    else:
+    most = quotas if isinstance(quotas, int) else max(quotas.values(), default=0)
+    first = top_per(r, [bucket], [F.col("_h"), F.col(key)], most)
+    if not isinstance(quotas, int):
         limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv]), F.col(bucket)), F.lit(0)) if quotas else F.lit(0)
-    r = r.withColumn("_n", F.row_number().over(w)).withColumn("_in", F.col("_n") <= limit)
-    return r.orderBy(F.col("_in").desc(), "_h", key).limit(total).drop("_h", "_n").withColumnRenamed("_in", "by_quota")
+        first = first.filter(F.col("rank") <= limit)
+    first = first.drop("rank").withColumn("by_quota", F.lit(True))
+    first = first.orderBy("_h", key).limit(total)
+    rest = r.join(F.broadcast(first.select(key)), key, "left_anti").orderBy("_h", key).limit(total).withColumn("by_quota", F.lit(False))
+    both = first.unionByName(rest)
+    chosen = both.orderBy(F.col("by_quota").desc(), "_h", key).limit(total)
+    return chosen.select(*df.columns, "by_quota")
 
 
 def total_variation(now: DataFrame, before: DataFrame, label: str, n: str) -> DataFrame:

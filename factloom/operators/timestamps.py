@@ -10,7 +10,9 @@ time is compared with the two instants that the zone's offsets a day before and
 a day after would give: exactly one of them must show that wall time. None
 (the clock jumps over it) and two (the clock shows it twice) give the status
 ``nonexistent`` and ``ambiguous`` and no instant, unless ``on_ambiguous`` asks
-for the earlier or the later instant.
+for the earlier or the later instant, and ``on_nonexistent`` for the instant
+that the offset before the jump gives (``forward``: the clock then shows a time
+as much later as it jumped) or the one after it (``back``: as much earlier).
 """
 
 from __future__ import annotations
@@ -94,7 +96,7 @@ def known_zones(spark: SparkSession, zones: DataFrame, zone: str) -> DataFrame:
     return zones.withColumn(zone, F.when(F.array_contains(names, F.col(zone)), F.col(zone)))
 
 
-def to_utc(df: DataFrame, value: str, zone: str, on_ambiguous: str = "reject") -> DataFrame:
+def to_utc(df: DataFrame, value: str, zone: str, on_ambiguous: str = "reject", on_nonexistent: str = "reject") -> DataFrame:
     """``df`` with ``utc`` (timestamp) and ``utc_status`` for the texts in ``value``.
 
     ``zone`` names a column with the zone of values that state none (null: such
@@ -107,6 +109,8 @@ def to_utc(df: DataFrame, value: str, zone: str, on_ambiguous: str = "reject") -
     """
     if on_ambiguous not in ("reject", "earlier", "later"):
         raise ValueError("on_ambiguous: reject, earlier or later")
+    if on_nonexistent not in ("reject", "forward", "back"):
+        raise ValueError("on_nonexistent: reject, forward or back")
     d = _let(df, _ts_t=F.trim(F.regexp_replace(F.lower(F.col(value)), _BLANK, " ")))
     d = _let(d, _ts_c=canonical(F.col("_ts_t")))
     d = _let(d, _ts_f=F.split("_ts_c", r"\|"))
@@ -154,7 +158,7 @@ def to_utc(df: DataFrame, value: str, zone: str, on_ambiguous: str = "reject") -
         .when(z.isNull(), "no_zone")
         .when(two, "ambiguous" if on_ambiguous == "reject" else "ok")
         .when(F.col("_ts_ok_a") | F.col("_ts_ok_b"), "ok")
-        .otherwise("nonexistent")
+        .otherwise("nonexistent" if on_nonexistent == "reject" else "ok")
     )
     pick = {"reject": F.lit(None).cast("timestamp"), "earlier": F.least("_ts_a", "_ts_b"), "later": F.greatest("_ts_a", "_ts_b")}[on_ambiguous]
     utc = (
@@ -163,6 +167,7 @@ def to_utc(df: DataFrame, value: str, zone: str, on_ambiguous: str = "reject") -
         .when(two, pick)
         .when(F.col("_ts_ok_a"), F.col("_ts_a"))
         .when(F.col("_ts_ok_b"), F.col("_ts_b"))
+        .otherwise({"reject": F.lit(None).cast("timestamp"), "forward": F.greatest("_ts_a", "_ts_b"), "back": F.least("_ts_a", "_ts_b")}[on_nonexistent])
     )
     d = _let(d, utc_status=status)
     d = d.withColumn("utc", F.when(F.col("utc_status") == "ok", utc))

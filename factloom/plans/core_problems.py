@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators.references import orphan_report, orphans
+from factloom.operators.references import SEMANTICS, orphan_report, orphans
 from factloom.operators.timestamps import timestamp_values, to_utc, utc_text
 from factloom.session import table
 
@@ -45,8 +45,8 @@ def missing_references(spark: SparkSession, d: str) -> DataFrame:
         )
         found = orphans(child, table(spark, d, parent).select("id"), ["missing_id"], ["id"])
         out = found if out is None else out.unionByName(found)
-    month = F.regexp_extract("_when", r"^(\d{4}-(?:0[1-9]|1[0-2]))-\d{2}", 1)
-    return out.select("src_table", "row_id", "missing_id", F.when(month != "", month).alias("month")).distinct()
+    out = to_utc(out.distinct().withColumn("_zone", F.lit("UTC")), "_when", "_zone")  # dates in any form
+    return out.select("src_table", "row_id", "missing_id", F.substring(utc_text(F.col("utc")), 1, 7).alias("month")).distinct()
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +59,18 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(missing_references(spark, d), ["src_table", "month"])
 
 
-QUERIES = {"p2_found": p2_found, "p2_status": p2_status, "p4_found": p4_found, "p4_report": p4_report}
+def p4_composite(spark: SparkSession, d: str) -> DataFrame:
+    """Items whose reference (raw_item_id, source_id), either of which may be null, names no raw item of that source, under each match semantics."""
+    child = table(spark, d, "content_items").select(F.col("id").alias("row_id"), "raw_item_id", "source_id")
+    parent = table(spark, d, "raw_source_items").select("id", "source_id")
+    out = None
+    for match in SEMANTICS:
+        found = orphans(child, parent, ["raw_item_id", "source_id"], ["id", "source_id"], match).select(F.lit(match).alias("semantics"), "row_id").distinct()
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+QUERIES = {"p4_composite": p4_composite, "p2_found": p2_found, "p2_status": p2_status, "p4_found": p4_found, "p4_report": p4_report}
 
 _P4 = """
 select 'bill_votes' as src_table, id as row_id, vote_session_id as missing_id, {v} as month from bill_votes c
@@ -77,7 +88,11 @@ _FULL = _P4.format(
     l=_MONTH.format("linked_at"),
     s=_MONTH.format("json_extract_string(try_cast(metadata_json as json), '$.signed')"),
 )
+_NONE = "not exists (select 1 from raw_source_items p where (c.raw_item_id is null or p.id = c.raw_item_id) and (c.source_id is null or p.source_id = c.source_id))"
 ORACLE = {
+    "p4_composite": f"""select 'simple' as semantics, id as row_id from content_items c where raw_item_id is not null and source_id is not null and {_NONE}
+ union select 'partial', id from content_items c where (raw_item_id is not null or source_id is not null) and {_NONE}
+ union select 'full', id from content_items c where (raw_item_id is null) <> (source_id is null) or (raw_item_id is not null and source_id is not null and {_NONE})""",
     "p4_found": f"select distinct src_table, row_id, missing_id from ({_FULL}) x",
     "p4_report": f"select src_table, month, count(*) as orphan_rows, count(distinct missing_id) as missing_keys from ({_FULL}) x group by all",
 }

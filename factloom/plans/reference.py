@@ -124,12 +124,15 @@ def proximity_join(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- writes -----------------------------------------------------------------
 @query("""
-with n as (select hash_sha256, external_id, id, collected_at, row_number() over (partition by source_id, external_id order by collected_at desc, id desc) as r, source_id from raw_source_items where external_id is not null)
-select source_id, external_id, id, collected_at from n where r = 1""")
+with m as (select max(id) / 2 as half from raw_source_items), n as (select id, external_id, source_id, collected_at, id > half as late, row_number() over (partition by source_id, external_id, id > half order by collected_at desc, id desc) as r from raw_source_items, m where external_id is not null and source_id is not null),
+k as (select *, row_number() over (partition by source_id, external_id order by late desc) as p from n where r = 1)
+select source_id, external_id, id, collected_at from k where p = 1""")
 def keyed_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Raw items put into an empty table by source and external id, the last one winning."""
-    new = table(spark, d, "raw_source_items").filter("external_id is not null and source_id is not null").select("source_id", "external_id", "id", "collected_at")
-    return relational.upsert(new.limit(0), new, ["source_id", "external_id"], [F.col("collected_at").desc(), F.col("id").desc()])
+    """The later half of the raw items put into a table of the earlier half by source and external id: present keys are updated, others added."""
+    t = table(spark, d, "raw_source_items").filter("external_id is not null and source_id is not null").select("source_id", "external_id", "id", "collected_at")
+    half, order = table(spark, d, "raw_source_items").agg(F.max("id")).first()[0] / 2, [F.col("collected_at").desc_nulls_last(), F.col("id").desc()]
+    old = relational.latest(t.filter(F.col("id") <= half), ["source_id", "external_id"], order)
+    return relational.upsert(old, t.filter(F.col("id") > half), ["source_id", "external_id"], order)
 
 
 @query("""
@@ -146,8 +149,17 @@ def merge_entities(spark: SparkSession, d: str) -> DataFrame:
     return relational.merge_entities(m, merges).withColumn("confidence", F.round("confidence", 4))
 
 
+@query("""
+with g as (select id, canonical_name, min(id) over (partition by description) as t from entities where entity_type = 'organization' and description is not null) select distinct t as entity_id, canonical_name as alias from g where t <> id and canonical_name is not null""")
+def merged_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """The names of merged organisations as aliases of the one that stays."""
+    o = table(spark, d, "entities").filter("entity_type = 'organization' and description is not null")
+    merges = o.join(o.groupBy("description").agg(F.min("id").alias("to_id")), "description").filter("id != to_id").select(F.col("id").alias("from_id"), "to_id")
+    return relational.merged_aliases(o, merges)
+
+
 # ---- text and scalar functions ----------------------------------------------
-_NORM = r"array_to_string(regexp_extract_all(regexp_replace(replace(lower(trim(regexp_replace(coalesce({}, ''), '[\s\x{{A0}}]+', ' ', 'g'))), 'ё', 'е'), 'https?://\S+', ' ', 'g'), '[\p{{L}}\p{{N}}_]+'), ' ')"
+_NORM = r"array_to_string(regexp_extract_all(regexp_replace(replace(lower(trim(regexp_replace(replace(coalesce({}, ''), '№', 'No'), '[\s\x{{A0}}]+', ' ', 'g'))), 'ё', 'е'), 'https?://\S+', ' ', 'g'), '[\p{{L}}\p{{N}}_]+'), ' ')"
 _FIRST = r"array_to_string(list_slice(string_split({}, ' '), 1, {}), ' ')"
 _TITLE, _BODY = _NORM.format("title"), _NORM.format("body_text")
 
@@ -171,9 +183,9 @@ def title_signature_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""
 select id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1) as host,
- case when url is null or trim(url) = '' then null else regexp_replace(lower(regexp_extract(url, '^[^:]*://([^/?#]*)', 1)), '^www\.', '') end as domain from content_items where url like '%://%.%'""")
+ case when url is null or trim(url) = '' then null else regexp_replace(lower(regexp_extract(url, '^[^:]*://([^/?#]*)', 1)), '^www\.', '') end as domain from content_items""")
 def domain_normalize(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "content_items").filter("url like '%://%.%'")
+    c = table(spark, d, "content_items")
     return c.select("id", text.source_host(F.col("url")).alias("host"), text.normalized_domain(F.col("url")).alias("domain"))
 
 
@@ -183,10 +195,12 @@ c as (select id, trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_r
 select sha256(t) as hash, count(*) as occurrences, count(distinct id) as items from c where len(regexp_extract_all(t, '[\p{L}\p{N}_-]+')) >= 4 group by t having count(distinct id) >= 2""")
 def claim_clusters_by_hash(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of the same canonical form in two items or more."""
-    s = table(spark, d, "content_items").select("id", F.explode(F.split(F.coalesce("body_text", F.lit("")), r"[.!?]\s+")).alias("s"))
-    c = s.select("id", text.canonical_claim(F.col("s"), F.lit("public_statement")).alias("t")).filter("t is not null")
-    g = c.groupBy("t").agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("id").alias("items")).filter("items >= 2")
-    return g.select(text.canonical_hash(F.col("t")).alias("hash"), "occurrences", "items")
+    # the form is made inside the generator, once a sentence; groups go by its hash
+    parts = F.transform(F.split(F.coalesce("body_text", F.lit("")), r"[.!?]\s+"), lambda s: text.canonical_form(s))
+    c = table(spark, d, "content_items").select("id", F.explode(parts).alias("t"))
+    c = c.filter(text.claim_words(F.col("t")) >= 4).select("id", F.unhex(text.canonical_hash(F.col("t"))).alias("h"))
+    g = c.groupBy("h").agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("id").alias("items")).filter("items >= 2")
+    return g.select(F.lower(F.hex("h")).alias("hash"), "occurrences", "items")
 
 
 @query(r"""
@@ -280,6 +294,8 @@ def evidence_top5(spark: SparkSession, d: str) -> DataFrame:
     k = table(spark, d, "contracts").select(F.col("content_item_id").alias("id"))
     a = c.join(k, "id").select("id", "source_id", F.col("content_type").alias("kind"))
     b = c.select(F.col("id").alias("evidence_id"), "source_id", "content_type", "published_at")
+    # of a source's kind only the first six can be among an item's five (one may be itself)
+    b = relational.top_per(b, ["source_id", "content_type"], [F.col("published_at").desc_nulls_last(), F.col("evidence_id")], 6).drop("rank")
     x = a.join(b, "source_id").filter("evidence_id != id and content_type != kind")
     return relational.top_per(x, ["id"], [F.col("published_at").desc_nulls_last(), F.col("evidence_id")], 5).select("id", "evidence_id", "rank")
 
@@ -413,7 +429,7 @@ r as (select *, row_number() over (partition by id order by score desc, neighbou
 select id, neighbour, score, rank::int as rank from r where rank <= 5""")
 def tfidf_neighbors(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest test passages of each, by TF-IDF."""
-    return similarity.neighbours(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"))
+    return blocks.neighbours(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"))
 
 
 def _near_sql(kind: str, docs: str, asked: str, least: float) -> str:

@@ -37,11 +37,69 @@ def split_dead_letters(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def feed_items(spark: SparkSession, path: str) -> DataFrame:
-    """(key, title, link, published) of feed files: the key hashes the entry's id, else its link."""
-    schema = "guid string, id string, link string, title string, pubDate string, updated string, description string"
-    x = spark.read.format("xml").schema(schema).option("rowTag", "item").load(path)
-    key = F.sha2(F.coalesce(F.nullif("guid", F.lit("")), F.nullif("id", F.lit("")), "link").cast("binary"), 256)
-    return x.select(key.alias("external_id"), "title", "link", F.coalesce("pubDate", "updated").alias("published"), "description").filter("external_id is not null")
+    """(external_id, title, link, published, description) of RSS and Atom files: the key hashes the entry's id, else its link.
+
+    The time is the first there is of published, updated and created.
+    """
+    read = lambda tag, schema: spark.read.format("xml").schema(schema).option("rowTag", tag).load(path)
+    rss = read("item", "guid string, id string, link string, title string, pubDate string, updated string, created string, description string")
+    atom = read("entry", "id string, title string, link struct<_href:string>, published string, updated string, created string, summary string")
+    full = lambda c: F.nullif(F.trim(c), F.lit(""))
+    key = lambda *c: F.sha2(F.coalesce(*[full(x) for x in c]).cast("binary"), 256).alias("external_id")
+    a = rss.select(key("guid", "id", "link"), "title", "link", F.coalesce(full("pubDate"), full("updated"), full("created")).alias("published"), "description")
+    b = atom.select(key("id", F.col("link._href")), "title", F.col("link._href").alias("link"), F.coalesce(full("published"), full("updated"), full("created")).alias("published"), F.col("summary").alias("description"))
+    return a.unionByName(b).filter("external_id is not null")
+
+
+#: What collectors land, by kind, as the fields that are kept.
+LANDINGS = {
+    "channel_posts": "channel string, post_id long, posted_at string, text string, views long, url string",
+    "video_channel": "channel_id string, video_id string, title string, description string, published_at string, url string",
+    "bills": "number string, title string, status string, registered_at string, url string, sponsors array<string>",
+    "votes": "bill_number string, vote_date string, vote_stage string, deputy_name string, faction string, vote_result string, source_url string",
+    "registry": "registry string, record_id string, name string, inn string, included_at string, excluded_at string, url string",
+    "acts": "number string, title string, signed_at string, text string, url string",
+    "people": "full_name string, position string, organization string, region string, biography string, url string",
+}
+#: The fields that make a landed row the same as one before.
+LANDING_KEYS = {
+    "channel_posts": ["channel", "post_id"], "video_channel": ["video_id"], "bills": ["number"], "votes": ["bill_number", "vote_date", "deputy_name"],
+    "registry": ["registry", "record_id"], "acts": ["number"], "people": ["full_name", "organization"],
+}
+
+
+def landed(spark: SparkSession, path: str, kind: str, since: str | None = None, time: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, dead letters) of landed JSON of a kind: each key once, the last by all fields; rows before ``since`` by the text ``time`` are left out."""
+    good, bad = split_dead_letters(landed_json(spark, path, LANDINGS[kind]).cache())
+    if since is not None:
+        good = good.filter(F.col(time) >= since)
+    keys, fields = LANDING_KEYS[kind], [x.split()[0] for x in LANDINGS[kind].split(", ")]
+    rest = [c for c in fields if c not in keys]
+    return good.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_r")).select(*keys, "_r.*").select(*fields), bad
+
+
+def scan_inbox(spark: SparkSession, path: str, known: DataFrame, routes: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(files to process with ``route``, counts by route): files of a watched folder by suffix, those known by hash or without a route left out of the first."""
+    f = binary_files(spark, path)
+    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    route = F.lit("other")
+    for s, r in routes.items():
+        route = F.when(suffix == s, r).otherwise(route)
+    f = f.withColumn("route", route)
+    new = new_files(f.filter("route != 'other'"), known)
+    n = f.groupBy("route").agg(F.count(F.lit(1)).alias("seen")).join(new.groupBy("route").agg(F.count(F.lit(1)).alias("new")), "route", "left")
+    return new, n.select("route", "seen", F.coalesce("new", F.lit(0).cast("long")).alias("new"))
+
+
+def html_rows(pages: DataFrame, block: str, fields: dict[str, str], html: str = "html") -> DataFrame:
+    """Repeated blocks of landed pages as rows: ``block`` finds each one, a field's pattern (one group) what it holds; tags in it are dropped.
+
+    Pages without blocks give nothing; a field that a block lacks is ''.
+    """
+    others = [c for c in pages.columns if c != html]
+    x = pages.select(*others, F.explode(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(f"(?s)({block})"), 1)).alias("_b"))
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " "))
+    return x.select(*others, *[plain(F.regexp_extract("_b", f"(?s){p}", 1)).alias(name) for name, p in fields.items()])
 
 
 class _Text(HTMLParser):
@@ -99,16 +157,26 @@ def notes(df: DataFrame, title: str, body: str, folder: str | None = None) -> Da
 
 
 def write_notes(vault: DataFrame, path: str) -> None:
-    """Writes the notes to a folder all executors share, each from the task that holds it."""
-    from pathlib import Path
-
-    def put(rows):
-        for r in rows:
-            f = Path(path, r.file_name)
-            f.parent.mkdir(parents=True, exist_ok=True)
-            f.write_text(r.content, encoding="utf-8")
-
-    vault.foreachPartition(put)
+    """Writes the notes below ``path``, a note a file, through Spark's text sink and the file system that the path names."""
+    spark = vault.sparkSession
+    rows = vault.select(F.regexp_replace("file_name", "/", "\u2044").alias("note"), F.col("content").alias("value"))
+    draft = f"{path.rstrip('/')}-draft"
+    rows.repartition("note").write.mode("overwrite").partitionBy("note").option("lineSep", "\n").text(draft)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(hadoop.Path(draft)):  # names only; the contents stay where they are
+        name = folder.getPath().getName()
+        if name.startswith("note="):
+            target = hadoop.Path(f"{path}/{_unescaped(name[5:])}")
+            fs.mkdirs(target.getParent())
+            for part in fs.listStatus(folder.getPath()):
+                if part.getPath().getName().startswith("part-"):
+                    fs.rename(part.getPath(), target)
+    fs.delete(hadoop.Path(draft), True)
+
+
+def _unescaped(name: str) -> str:
+    return re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), name).replace("\u2044", "/")
 
 
 def write_snapshot(tables: dict[str, DataFrame], root: str, version: str) -> str:

@@ -1,6 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import extraction, graph
+from factloom.operators import extraction, graph, relational
 
 
 def test_sentences_and_identifiers(spark):
@@ -32,4 +33,14 @@ def test_communities(spark):
     clique = lambda ids: [(i, j) for i in ids for j in ids if i < j]
     e = spark.createDataFrame(clique([1, 2, 3, 4]) + clique([11, 12, 13, 14]) + [(4, 11)], "a long, b long")
     assert {r.id: r.community for r in graph.communities(e).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 11: 11, 12: 11, 13: 11, 14: 11}
-    assert {r.community for r in graph.communities(e, most_nodes=3).collect()} == {1}
+    assert {r.id: r.community for r in graph.greedy_communities(e).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 11: 11, 12: 11, 13: 11, 14: 11}
+    with pytest.raises(ValueError):
+        graph.greedy_communities(e, most_nodes=3)
+    assert graph.communities(e.limit(0)).count() == 0
+
+
+def test_numbered_over_parts(spark):
+    rows = [("hot", i) for i in range(500)] + [("b", 3), ("b", 1), (None, 7), (None, 5)]
+    d = spark.createDataFrame(rows, "g string, i long")
+    got = {(r.g, r.i): r.position for r in relational.numbered(d, "g", ["i"]).collect()}
+    assert got == {**{("hot", i): i for i in range(500)}, ("b", 1): 0, ("b", 3): 1, (None, 5): 0, (None, 7): 1}

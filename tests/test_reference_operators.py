@@ -33,6 +33,9 @@ def test_scalar_functions(spark):
     assert one(spark, text.negated(lit("он никогда не воровал"), "воровал", ("не ",))) is True
     assert one(spark, text.negated(lit("не он и никто другой точно воровал"), "воровал", ("не ",))) is False
     assert one(spark, text.nfkc(lit("ﬁ"))) == "fi"
+    assert one(spark, text.normalize_text(lit("Ｆｕｌｌ ﬁ № 5\u00a0½"))) == "full fi no 5 1 2"
+    assert one(spark, text.normalized_domain(lit("http://[::1]:80/x"))) == "[::1]:80"
+    assert one(spark, text.normalized_domain(lit("10.0.0.1/x"))) == "10.0.0.1"
 
 
 def test_scores(spark):
@@ -53,6 +56,9 @@ def test_writes(spark):
     assert {(r.k, r.v) for r in relational.upsert(old, new, ["k"], [F.col("v").desc()]).collect()} == {(1, "a"), (2, "d"), (3, "e")}
     assert sorted(r.k for r in relational.insert_missing(old, new, ["k"]).collect()) == [1, 2, 3]
     assert relational.replace_derived(old, new, F.col("v") == "b").count() == 4
+    e = spark.createDataFrame([(1, "А"), (2, "Б"), (3, None)], "id long, canonical_name string")
+    m = spark.createDataFrame([(2, 1), (3, 1)], "from_id long, to_id long")
+    assert [tuple(r) for r in relational.merged_aliases(e, m).collect()] == [(1, "Б")]
 
 
 def test_vote_agreement_limits(spark):
@@ -117,7 +123,7 @@ def test_files(spark, tmp_path):
     back = files.import_review_pack(spark, f"{tmp_path}/pack", d.withColumn("verdict", F.lit("old")), "id", ["verdict"])
     assert {r.id: (r.note, r.verdict) for r in back.collect()} == {1: ("a", "old"), 2: ('b"; c', "x")}
     files.write_notes(files.notes(d, "note", "verdict"), f"{tmp_path}/vault")
-    assert len(list((tmp_path / "vault").iterdir())) == 2
+    assert len(list((tmp_path / "vault").glob("*.md"))) == 2
     path = files.write_snapshot({"t": d}, f"{tmp_path}/snapshots", "v1")
     assert '\\"t\\": 2' in "".join(p.read_text() for p in (tmp_path / "snapshots/v1/_manifest").glob("*.json")) and path.endswith("v1")
     (tmp_path / "in").mkdir()
@@ -130,7 +136,17 @@ def test_files(spark, tmp_path):
     assert (good.count(), bad.count()) == (1, 1)
     assert one(spark, files.html_text(F.lit("<p>a<script>x</script> b</p>"))) == "a b"
     (tmp_path / "f.xml").write_text("<rss><item><guid>g</guid><title>t</title><link>l</link><pubDate>p</pubDate></item></rss>")
+    (tmp_path / "g.xml").write_text('<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>i</id><title>u</title><link href="m"/><updated></updated><created>c</created></entry></feed>')
     assert files.feed_items(spark, f"{tmp_path}/f.xml").first().published == "p"
+    assert [(r.link, r.published) for r in files.feed_items(spark, f"{tmp_path}/g.xml").collect()] == [("m", "c")]
+    (tmp_path / "v.json").write_text('{"bill_number": "1", "vote_date": "2024-02-01", "deputy_name": "a", "vote_result": "за"}\n{"bill_number": "1", "vote_date": "2024-02-01", "deputy_name": "a", "vote_result": "за"}\n{"bill_number": "0", "vote_date": "2023-01-01", "deputy_name": "b"}\nbad\n')
+    rows, dead = files.landed(spark, f"{tmp_path}/v.json", "votes", "2024-01-01", "vote_date")
+    assert [(r.bill_number, r.vote_result) for r in rows.collect()] == [("1", "за")] and dead.count() == 1
+    new, counts = files.scan_inbox(spark, f"{tmp_path}/in", known, {"pdf": "document"})
+    assert new.count() == 0 and {r.route: (r.seen, r.new) for r in counts.collect()} == {"other": (3, 0)}
+    pages = spark.createDataFrame([("c", '<div class="post"><time>t1</time><p>a <b>b</b></p></div><div class="post"><p>c</p></div>'), ("d", None)], "channel string, html string")
+    got = files.html_rows(pages, '<div class="post">.*?</div>', {"at": "<time>(.*?)</time>", "text": "<p>(.*?)</p>"})
+    assert [tuple(r) for r in got.collect()] == [("c", "t1", "a b"), ("c", "", "c")]
 
 
 def test_streams(spark, tmp_path):

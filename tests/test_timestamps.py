@@ -91,3 +91,14 @@ def test_tables_with_repeated_sources_and_nulls(spark):
     rows = timestamp_values(spark, c, v, k, s)
     assert rows.count() == 5
     assert to_utc(rows, "value", "zone").filter("utc is not null").count() == 3
+
+
+def test_times_that_the_clock_jumps_over(spark):
+    d = spark.createDataFrame([("2024-03-31 02:30", "Europe/Berlin"), ("2024-03-31 03:30", "Europe/Berlin")], "v string, z string")
+    want = {"reject": None, "forward": "2024-03-31T01:30:00Z", "back": "2024-03-31T00:30:00Z"}
+    for policy, utc in want.items():
+        r = to_utc(d, "v", "z", on_nonexistent=policy).select("utc_status", utc_text(F.col("utc")).alias("u")).collect()
+        assert (r[0].utc_status, r[0].u) == ("nonexistent" if utc is None else "ok", utc)
+        assert (r[1].utc_status, r[1].u) == ("ok", "2024-03-31T01:30:00Z")
+    with pytest.raises(ValueError):
+        to_utc(d, "v", "z", on_nonexistent="guess")
