@@ -109,6 +109,7 @@ def investigation(edges: DataFrame, seeds: DataFrame, most_hops: int = 3, least:
     e = edges.filter(F.col("strength") >= least)
     if types:
         e = e.filter(F.col("relation_type").isin(*types))
+    e = cut(e)  # made once, not in every hop
     seen = cut(seeds.select("node").distinct().withColumn("hop", F.lit(0)))
     out = None
     for h in range(1, most_hops + 1):

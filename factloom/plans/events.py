@@ -294,11 +294,12 @@ def quote_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- upkeep -----------------------------------------------------------------
-@query("with n as (select entity_id, min(id) as first_vote from bill_votes where entity_id is not null group by 1) select e.id as entity_id, 'депутат' as position from entities e where e.entity_type = 'person' and coalesce(e.description, '') not like '%фракция%' and e.id in (select entity_id from n)")
+@query("select e.id as entity_id, 'депутат' as position from entities e where e.entity_type = 'person' and e.id in (select entity_id from bill_votes where entity_id is not null) and e.id not in (select entity_id from bill_sponsors where entity_id is not null)")
 def missing_positions(spark: SparkSession, d: str) -> DataFrame:
-    """Voters whose description names no faction."""
+    """Positions for voters that stand under no bill."""
     v = table(spark, d, "bill_votes").select(F.col("entity_id").alias("id")).dropna().distinct()
-    x = table(spark, d, "entities").filter("entity_type = 'person' and coalesce(description, '') not like '%фракция%'").join(v, "id", "left_semi")
+    s = table(spark, d, "bill_sponsors").select(F.col("entity_id").alias("id")).dropna().distinct()
+    x = table(spark, d, "entities").filter("entity_type = 'person'").join(v, "id", "left_semi").join(s, "id", "left_anti")
     return x.select(F.col("id").alias("entity_id"), F.lit("депутат").alias("position"))
 
 
