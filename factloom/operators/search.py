@@ -19,8 +19,8 @@ def query_terms(query: str) -> list[str]:
     return sorted(set(re.findall(r"\w+", query.lower())))
 
 
-def bm25(docs: DataFrame, query: str, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score): documents with all terms of the query, best first; score to six places, ties by id.
+def bm25(docs: DataFrame, query: str, k: int | None = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score): documents with all terms of the query, best first; score to six places, ties by id; None gives all of them, in no order.
 
     Only postings of the query's terms leave the scan of the postings.
     """
@@ -34,7 +34,21 @@ def bm25(docs: DataFrame, query: str, k: int = 20, k1: float = 1.2, b: float = 0
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     s = x.groupBy("id").agg(F.round(F.sum(part), 6).alias("score"), F.count(F.lit(1)).alias("matched")).filter(F.col("matched") == len(terms))
-    return s.select("id", "score").orderBy(F.col("score").desc(), "id").limit(k)
+    s = s.select("id", "score")
+    return s if k is None else s.orderBy(F.col("score").desc(), "id").limit(k)
+
+
+def page(docs: DataFrame, keep: DataFrame, query: str, limit: int = 100, offset: int = 0, around: int = 20) -> DataFrame:
+    """(id, score, total, snippet): a page of the documents (id, text) in ``keep`` (id) that have all terms, scored over all documents.
+
+    ``total`` is the number of hits; the snippet is what stands around the first term.
+    """
+    hits = bm25(docs, query, None).join(keep, "id", "left_semi")
+    total = hits.agg(F.count(F.lit(1)).alias("total"))
+    shown = hits.orderBy(F.col("score").desc(), "id").offset(offset).limit(limit)
+    words = "|".join(re.escape(t) for t in re.findall(r"\w+", query.lower()))
+    snippet = F.regexp_extract("text", f"(?isu)(.{{0,{around}}}(?:{words}).{{0,{around}}})", 1)
+    return shown.join(docs, "id").join(F.broadcast(total)).select("id", "score", "total", snippet.alias("snippet"))
 
 
 def filtered(docs: DataFrame, **conditions) -> DataFrame:

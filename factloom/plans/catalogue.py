@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.plans import classification, core_problems, events, extraction, network, people, reference, verification
+from factloom.plans import classification, core_problems, events, extraction, more, network, people, reference, verification
 
-MODULES = (core_problems, reference, extraction, verification, network, classification, events, people)
+MODULES = (core_problems, reference, extraction, verification, network, classification, events, people, more)
 
 
 def queries() -> dict:
