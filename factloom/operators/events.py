@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators.relational import top_per
 from factloom.operators.verification import day
+from factloom.session import cut
 
 
 def groups(members: DataFrame, items: DataFrame, eligible: Sequence[DataFrame]) -> DataFrame:
@@ -17,6 +18,7 @@ def groups(members: DataFrame, items: DataFrame, eligible: Sequence[DataFrame])
     Where nothing is eligible all other items are. Disjoint conditions are
     semi-joins on one distinct set of ids.
     """
+    members = cut(members.select("id", "canonical_id"))
     clustered = members.select(F.col("canonical_id").alias("event"), "id")
     rest = items.select("id").distinct().join(members.select("id"), "id", "left_anti")
     ids = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import title_signature
+from factloom.functions.text import TITLE_TOKENS, first_tokens
 from factloom.operators.relational import top_per
 from factloom.session import cut
 
@@ -42,8 +42,18 @@ def neighbours(docs: DataFrame, threshold: float = 0.22, k: int = 5) -> DataFram
     return top_per(dot.filter(F.col("score") >= threshold), ["id"], [F.col("score").desc(), F.col("neighbour").desc()], k)
 
 
+def signatures(items: DataFrame) -> DataFrame:
+    """(id, signature) of items (id, title, body_text): ``title_signature``, the body being read only where the title may have no word."""
+    titled = items.select("id", first_tokens(F.col("title"), TITLE_TOKENS).alias("signature")).filter("signature != ''")
+    title = F.coalesce("title", F.lit(""))
+    bare = items.filter(~title.rlike(r"[\p{L}\p{N}_]") | title.rlike("(?i)https?://"))
+    t = first_tokens(F.col("title"), TITLE_TOKENS)
+    rest = bare.select("id", F.when(t == "", first_tokens(F.col("body_text"), TITLE_TOKENS)).alias("signature")).filter("signature != ''")
+    return titled.unionByName(rest)
+
+
 def signature_groups(items: DataFrame) -> DataFrame:
     """(id, signature, canonical_id, group_size) of items whose title signature occurs twice or more."""
-    s = items.select("id", title_signature(F.col("title"), F.col("body_text")).alias("signature")).filter("signature != ''")
+    s = cut(signatures(items))
     g = s.groupBy("signature").agg(F.min("id").alias("canonical_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
     return s.join(g, "signature").select("id", "signature", "canonical_id", "group_size")

@@ -312,8 +312,8 @@ def source_by_host(spark: SparkSession, d: str) -> DataFrame:
     return c.join(o, "host").select("id", F.col("found").alias("source_id"), (F.col("found") == F.col("given")).alias("agrees"))
 
 
-@query(r"""with e as (select array_to_string(list_sort(string_split_regex(lower(replace(canonical_name, 'ё', 'е')), '\s+')), ' ') as k, min(id) as entity_id from entities where entity_type = 'person' group by 1 having count(*) = 1)
-select v.id, v.deputy_name, e.entity_id from (select distinct id, deputy_name from bill_votes where entity_id is null) v join e on e.k = array_to_string(list_sort(string_split_regex(lower(replace(trim(deputy_name), 'ё', 'е')), '\s+')), ' ')""")
+@query(r"""with e as (select array_to_string(list_sort(string_split_regex(replace(lower(canonical_name), 'ё', 'е'), '\s+')), ' ') as k, min(id) as entity_id from entities where entity_type = 'person' group by 1 having count(*) = 1)
+select v.id, v.deputy_name, e.entity_id from (select distinct id, deputy_name from bill_votes where entity_id is null) v join e on e.k = array_to_string(list_sort(string_split_regex(replace(lower(trim(deputy_name)), 'ё', 'е'), '\s+')), ' ')""")
 def votes_by_exact_name(spark: SparkSession, d: str) -> DataFrame:
     """The person of votes without one whose name is written in full, whatever the order of its words."""
     key = lambda c: F.array_join(F.array_sort(F.split(F.translate(F.lower(c), "ё", "е"), r"\s+")), " ")

@@ -401,10 +401,9 @@ def bfs_hops(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def evidence_chains(spark: SparkSession, d: str) -> DataFrame:
-    """The best chains of contract partners from the least party."""
-    p = table(spark, d, "contract_parties").filter("entity_id is not null and contract_id is not null")
+    """The best chains of contract partners from the least party that has one."""
     edges = contract_pairs(spark, d).groupBy("a", "b").agg((F.lit(1.0) - F.lit(1.0) / (F.count(F.lit(1)) + 1)).alias("w"))
-    return graph.chains(edges, p.agg(F.min("entity_id").alias("id")), "a", "b", "w")
+    return graph.chains(edges, edges.agg(F.min("a").alias("id")), "a", "b", "w")
 
 
 @query(f"""
