@@ -196,7 +196,9 @@ def alike(docs: DataFrame, threshold: float) -> DataFrame:
     ones first; a document's terms behind the first ones weigh less than the
     threshold together (their squares less than its square, all being of length
     1), so two documents that are alike share one of the first of both. Only
-    first terms meet, and pairs are then verified with the whole vectors.
+    first terms meet. What two documents can have in common behind the last
+    first term they share is at most the root of the product of their squares
+    there; pairs within that bound are verified with the whole vectors.
     """
     spark = docs.sparkSession
     n = docs.count()
@@ -214,10 +216,14 @@ def alike(docs: DataFrame, threshold: float) -> DataFrame:
     v = v.withColumn("norm", F.sqrt(F.aggregate("t", F.lit(0.0), lambda a, y: a + y["x"] * y["x"])))
     v = cut(v.select("id", "kind", F.transform("t", lambda y: F.struct(y["df"].alias("df"), y["term"].alias("term"), (y["x"] / F.col("norm")).alias("w"))).alias("t")))
     # the weight behind each term, from the end; what is kept is where it is still enough
-    behind = F.transform("t", lambda y, i: F.struct(y["df"].alias("df"), y["term"].alias("term"), F.aggregate(F.slice("t", i + 1, F.size("t")), F.lit(0.0), lambda a, z: a + z["w"] * z["w"]).alias("rest")))
+    behind = F.transform("t", lambda y, i: F.struct(y["df"].alias("df"), y["term"].alias("term"), y["w"].alias("w"), F.aggregate(F.slice("t", i + 1, F.size("t")), F.lit(0.0), lambda a, z: a + z["w"] * z["w"]).alias("rest")))
     least = (threshold - SLACK) ** 2
-    first = v.select("id", "kind", F.explode(F.filter(behind, lambda y: (y["rest"] >= least) & (y["df"] > 1))).alias("t")).select("id", "kind", "t.term")
-    pairs = first.join(first.select(F.col("id").alias("neighbour"), "kind", "term"), ["kind", "term"]).filter("id < neighbour").select("id", "neighbour").distinct()
+    first = v.select("id", "kind", F.explode(F.filter(behind, lambda y: (y["rest"] >= least) & (y["df"] > 1))).alias("t")).select("id", "kind", "t.*")
+    first = first.select("id", "kind", "df", "term", "w", F.greatest(F.col("rest") - F.col("w") * F.col("w"), F.lit(0.0)).alias("after"))
+    other = first.select(F.col("id").alias("neighbour"), "kind", "term", F.col("w").alias("w2"), F.col("after").alias("after2"))
+    met = first.join(other, ["kind", "term"]).filter("id < neighbour").groupBy("id", "neighbour")
+    met = met.agg(F.sum(F.col("w") * F.col("w2")).alias("shared"), F.max_by(F.sqrt(F.col("after") * F.col("after2")), F.struct("df", "term")).alias("most"))
+    pairs = met.filter(F.col("shared") + F.col("most") >= threshold - SLACK).select("id", "neighbour")
     a, b = v.select("id", F.col("t").alias("ta")), v.select(F.col("id").alias("neighbour"), F.col("t").alias("tb"))
     both = pairs.join(a, "id").join(b, "neighbour")
     other = F.map_from_entries(F.transform("tb", lambda y: F.struct(y["term"], y["w"])))
