@@ -24,6 +24,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,6 +68,18 @@ NICKNAMES = {
     "юрий": "юра", "алексей": "леша алеша", "анна": "аня нюра", "елена": "лена", "иван": "ваня", "юлия": "юля", "александра": "саша шура", "борис": "боря", "василий": "вася",
     "надежда": "надя", "любовь": "люба", "илья": "илюша", "андрей": "андрюша", "максим": "макс", "валентина": "валя", "галина": "галя", "алла": "аллочка", "лариса": "лара",
 }
+
+
+class Lexicon(NamedTuple):
+    """Lists that the reading of names uses; each may be replaced for another corpus."""
+
+    forms: dict[str, str] = FORMS
+    short: dict[str, str] = SHORT
+    titles: frozenset[str] = frozenset(TITLES)
+    nicknames: dict[str, str] = NICKNAMES
+
+
+LEXICON = Lexicon()
 THRESHOLD = 0.8
 #: Shared bigrams of two tokens against all of them, at least.
 GRAMS = 0.4
@@ -80,10 +93,10 @@ def latin(token: str) -> str:
     return "".join(LATIN.get(c, c) for c in token)
 
 
-@functools.lru_cache(maxsize=1)
-def _forms() -> list[tuple[re.Pattern, str]]:
+@functools.lru_cache(maxsize=8)
+def _forms(forms: tuple[tuple[str, str], ...]) -> list[tuple[re.Pattern, str]]:
     out = []
-    for short, full in sorted(FORMS.items(), key=lambda x: -len(x[1])):
+    for short, full in sorted(forms, key=lambda x: -len(x[1])):
         dotted = r"\.\s?".join(short) + r"\.?"
         for spelling in (re.escape(full), dotted, re.escape(latin(short)), re.escape(latin(full))):
             out.append((re.compile(rf"(?<![\w]){spelling}(?![\w])"), f" {short} "))
@@ -93,22 +106,22 @@ def _forms() -> list[tuple[re.Pattern, str]]:
 _TOKEN = re.compile(r"[^\W_]+(?:[-'][^\W_]+)*\.?")
 
 
-def tokens(name: str | None, person: bool) -> list[str]:
+def tokens(name: str | None, person: bool, lexicon: Lexicon = LEXICON) -> list[str]:
     """The tokens of a spelling; one that ends in a full stop is an abbreviation, one of a single letter an initial."""
     text = " ".join(fold(name or "").split())
     if person:
         text = re.sub(r"\s*[-–—‐‑]\s*", "-", re.sub(r"\([^)]*\)", " ", text))
     else:
         text = re.sub(r"[«»“”„\"'()]", " ", text)
-        for pattern, short in _forms():
+        for pattern, short in _forms(tuple(lexicon.forms.items())):
             text = pattern.sub(short, text)
     out = []
     for t in _TOKEN.findall(text):
         bare = t.rstrip(".")
-        if person and bare in TITLES:
+        if person and bare in lexicon.titles:
             continue
-        if not person and bare in SHORT:
-            out.extend(SHORT[bare].split())
+        if not person and bare in lexicon.short:
+            out.extend(lexicon.short[bare].split())
         else:
             out.append(t if t.endswith(".") and 1 < len(bare) <= 5 else bare)
     return out
@@ -140,7 +153,7 @@ def same_token(a: str, b: str) -> float:
     return 1 - d / (len(b) + 1) if d <= (1 if len(b) < 10 else 2) else 0.0
 
 
-def against(token: str, other: str) -> float:
+def against(token: str, other: str, lexicon: Lexicon = LEXICON) -> float:
     """Similarity of one typed token (word, abbreviation, initial, short name) to an entity's token."""
     foreign = bool(re.search("[a-z]", token))
     target = latin(other) if foreign else other
@@ -154,13 +167,28 @@ def against(token: str, other: str) -> float:
         return 0.9 if target.startswith(begin) and target.endswith(end) else 0.0
     sim = same_token(bare, target)
     if not sim:
-        for short in NICKNAMES.get(other, "").split():
+        for short in lexicon.nicknames.get(other, "").split():
             if bare == (latin(short) if foreign else short):
                 return 0.9
     return sim
 
 
-def _surname(typed: list[str], own: str) -> tuple[list[int], float]:
+class Matcher:
+    """``against`` under a lexicon, remembering what it was asked: the same tokens meet in many pairs."""
+
+    def __init__(self, lexicon: Lexicon = LEXICON, most: int = 500_000):
+        self.lexicon, self.most, self.known = lexicon, most, {}
+
+    def __call__(self, token: str, other: str) -> float:
+        s = self.known.get((token, other))
+        if s is None:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            s = self.known[token, other] = against(token, other, self.lexicon)
+        return s
+
+
+def _surname(typed: list[str], own: str, against) -> tuple[list[int], float]:
     """Which tokens are the surname, and how similar: whole, its two parts apart, or one part of two."""
     found: list[tuple[float, list[int]]] = []
     parts = own.split("-")
@@ -176,18 +204,20 @@ def _surname(typed: list[str], own: str) -> tuple[list[int], float]:
     return best[1], best[0]
 
 
-def score(typed: list[str], own: list[str], weights: list[float], person: bool) -> float:
+def score(typed: list[str], own: list[str], weights: list[float], person: bool, against: Matcher | None = None) -> float:
     """Soft weighted similarity of a spelling to an entity, from 0 to 1; 0 where something rules it out."""
+    against = against or Matcher()
     if not typed or not own:
         return 0.0
-    forms = [t for t in own if t in FORMS]
-    given = [t for t in typed if t in FORMS]
+    known = against.lexicon.forms
+    forms = [t for t in own if t in known]
+    given = [t for t in typed if t in known]
     if not person and given and given[:1] != forms[:1]:
         return 0.0
     if sorted(t for t in typed if t.isdigit()) != sorted(t for t in own if t.isdigit()):
         return 0.0
     if person:
-        at, s = _surname(typed, own[0])
+        at, s = _surname(typed, own[0], against)
         rest = [t for i, t in enumerate(typed) if i not in at]
         if not s or len(rest) >= len(own):
             return 0.0
@@ -205,7 +235,7 @@ def score(typed: list[str], own: list[str], weights: list[float], person: bool)
             free.discard(best)
             hit += w * s
             covered += weights[best]
-    whole = sum(w for t, w in zip(own, weights, strict=True) if t not in FORMS or t in typed)
+    whole = sum(w for t, w in zip(own, weights, strict=True) if t not in known or t in typed)
     return min(hit / total, covered / whole if whole else 0.0)
 
 
@@ -219,13 +249,13 @@ def hint_key(text: str | None, person: bool) -> str:
     return re.sub(r"\D", "", re.sub(r"\.0+\s*$", "", text)).lstrip("0")
 
 
-def _parse(df: DataFrame) -> DataFrame:
+def _parse(df: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(key, person, tokens, hint) of rows (key, person, name, hint)."""
 
     def each(batches):
         for b in batches:
             person = b.column("person").to_pylist()
-            toks = [tokens(n, p) for n, p in zip(b.column("name").to_pylist(), person, strict=True)]
+            toks = [tokens(n, p, lexicon) for n, p in zip(b.column("name").to_pylist(), person, strict=True)]
             hints = [hint_key(h, p) for h, p in zip(b.column("hint").to_pylist(), person, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("person"), pa.array(toks, pa.list_(pa.string())), pa.array(hints)], names=["key", "person", "tokens", "hint"])
 
@@ -261,7 +291,7 @@ def similar_tokens(typed: DataFrame, own: DataFrame) -> DataFrame:
     return near.join(own, "form").select("typed", F.col("token").alias("own")).distinct()
 
 
-def link(names: DataFrame, entities: DataFrame) -> DataFrame:
+def link(names: DataFrame, entities: DataFrame, lexicon: Lexicon = LEXICON) -> DataFrame:
     """(person, name, hint, entity_id) for every distinct spelling that denotes one entity.
 
     ``names`` has (person boolean, name, hint), ``entities`` (id, person, name,
@@ -270,8 +300,8 @@ def link(names: DataFrame, entities: DataFrame) -> DataFrame:
     """
     names = names.select("person", "name", "hint").filter("person is not null and name is not null").distinct()
     names = cut(names.withColumn("key", F.xxhash64("person", "name", F.coalesce("hint", F.lit("\u0000")))))
-    n = cut(_parse(names).filter("size(tokens) > 0"))
-    e = cut(_parse(entities.select(F.col("id").alias("key"), "person", "name", "hint").filter("key is not null and name is not null and person is not null").dropDuplicates(["key"])).filter("size(tokens) > 0"))
+    n = cut(_parse(names, lexicon).filter("size(tokens) > 0"))
+    e = cut(_parse(entities.select(F.col("id").alias("key"), "person", "name", "hint").filter("key is not null and name is not null and person is not null").dropDuplicates(["key"]), lexicon).filter("size(tokens) > 0"))
     apart = F.flatten(F.transform(F.filter("tokens", lambda t: t.contains("-")), lambda t: F.split(t, "-")))
     e = e.withColumn("index", F.array_distinct(F.when(F.col("person"), F.concat("tokens", apart)).otherwise(F.col("tokens"))))
     count = e.groupBy("person").agg(F.count(F.lit(1)).alias("all"))
@@ -306,11 +336,12 @@ def link(names: DataFrame, entities: DataFrame) -> DataFrame:
     full = asked.join(n, "key").join(known, "id").select("key", "id", "person", "tokens", "hint", "own", "weights", "own_hint")
 
     def judge(batches):
+        match = Matcher(lexicon)
         for b in batches:
             c = {k: b.column(k).to_pylist() for k in b.schema.names}
             s, agree = [], []
             for typed_, own_, w, person, h, g in zip(c["tokens"], c["own"], c["weights"], c["person"], c["hint"], c["own_hint"], strict=True):
-                s.append(score(typed_, own_, w, person))
+                s.append(score(typed_, own_, w, person, match))
                 agree.append(0 if not h or not g else 1 if h == g else -1)
             keep = pa.array([x >= THRESHOLD for x in s], pa.bool_())
             out = pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), pa.array(s, pa.float64()), pa.array(agree, pa.int32())], names=["key", "id", "score", "agree"])

@@ -66,3 +66,11 @@ def test_token_join_loses_no_similar_token(spark):
 
     want = {(a, b) for a, b in itertools.product(typed, set(own)) if names.same_token(a, b) > 0 and len(grams(a) & grams(b)) >= names.GRAMS * len(grams(a) | grams(b))}
     assert want <= got and all(names.same_token(a, b) > 0 for a, b in got)
+
+
+def test_another_lexicon(spark):
+    n = spark.createDataFrame([(True, "Капитан Бобби Смит", None), (True, "Бобби Смит", None)], "person boolean, name string, hint string")
+    e = spark.createDataFrame([(1, True, "Смит Роберт", None), (2, True, "Джонс Роберт", None)], "id long, person boolean, name string, hint string")
+    assert names.link(n, e).count() == 0
+    own = names.Lexicon(titles=frozenset({"капитан"}), nicknames={"роберт": "бобби боб"})
+    assert {(r.name, r.entity_id) for r in names.link(n, e, own).collect()} == {("Капитан Бобби Смит", 1), ("Бобби Смит", 1)}
