@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -84,7 +85,7 @@ def test_recall_of_planted_edits():
 
     rng = random.Random(11)
     folder = "/root/testdata/sf0.001"
-    items = {r["item_id"]: r["text"].split() for r in pq.read_table(f"{folder}/benchmark.parquet").to_pylist() if r["text"]}
+    items = {r["item_id"]: re.findall(r"[^\W_]+", r["text"]) for r in pq.read_table(f"{folder}/benchmark.parquet").to_pylist() if r["text"]}
     docs = [r["text"].split() for r in pq.read_table(f"{folder}/documents.parquet", columns=["text"]).to_pylist() if r["text"]]
     long = [k for k, w in items.items() if len(w) >= 16]
     planted, texts = [], []
