@@ -162,10 +162,11 @@ def _make_up(token: str) -> str:
 
 
 def line_patterns(line: str) -> list[str]:
-    """A line's patterns, the most specific first: itself, its first two words and make-up, its first word and make-up, its make-up."""
+    """A line's patterns, the most specific first: itself, its first two words and make-up, its first word and make-up, its make-up if that is not of small words alone."""
     words, kinds = _key(line).split(), " ".join(map(_make_up, line.split()))
     two = f"2 {words[0]} {words[1]} {kinds}" if len(words) > 2 else None
-    return [f"w {' '.join(words)} {kinds[:1]}", *([two] if two else []), f"1 {words[0]} {kinds}", f"s {kinds}"]
+    made = [f"s {kinds}"] if "l" not in kinds or re.search("[^Tl ]", kinds) else []  # small words alone are made up like any sentence
+    return [f"w {' '.join(words)} {kinds[:1]}", *([two] if two else []), f"1 {words[0]} {kinds}", *made]
 
 
 def pattern_rows(text: str) -> dict[tuple[str, str], tuple[int, int, int, list[int]]]:
