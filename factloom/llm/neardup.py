@@ -17,7 +17,9 @@ distance is at most (1 - t) / (1 + t) * (a + b). Nothing is approximate:
    below. Its words are a ring of ``SEGMENTS`` segments. If two sets are within
    budget, some segment begins a chain in which the first l segments differ by
    at most l / SEGMENTS of the budget, for every l; pairs without such a chain
-   are pruned at the shortest length that shows it, inside the partition.
+   are pruned at the shortest length that shows it, inside the partition. Long
+   lists of one element are compared by products of matrices instead: the
+   product of two sketches, as signs, is their full-length chain.
 4. The rest is compared by full sets.
 
 Classes are pre-aggregated before elements travel, hot elements stand last in
@@ -41,6 +43,10 @@ BUCKETS = 1 << 18
 _BLOCK = 1 << 12
 #: Pairs looked at together in a partition, first elements a partition is meant for, and sets of one element in a block.
 CHUNK, PER_PARTITION, HOT = 500_000, 1_500_000, 250_000
+#: Nanoseconds of a pair looked at by itself; of a pair, a set and a list where sketches are compared as products of matrices; sides of a product.
+LOOKED, TILED, TILE = 300, (18, 1_200, 2_000_000), (192, 4096)
+#: The eight bits of every byte as -1 and 1.
+_SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1).view(np.dtype((np.void, 32))).ravel()
 #: Ids of copies are broadcast up to this many rows (8 bytes each), else joined by shuffle.
 MOST_BROADCAST = 200_000
 
@@ -165,8 +171,9 @@ class Entries:
 class Cell:
     """The sets and first elements that met in one partition."""
 
-    def __init__(self) -> None:
+    def __init__(self, dense: int = LOOKED) -> None:
         self.parts: list[tuple[Entries, bool]] = []
+        self.dense = dense
 
     def add(self, blob: bytes) -> None:
         self.parts.append(Entries.unpacked(blob))
@@ -194,7 +201,29 @@ class Cell:
         most = np.clip(np.minimum(size * den // num, room[new] * (num + den) // num - size), 0, (1 << 32) - 1)
         behind = np.searchsorted(key, base | most, side="right")
         lo, hi = np.searchsorted(key, (base + (1 << 32)) | -(-size * num // den)), np.searchsorted(key, (base + (1 << 32)) | most, side="right")
-        left, start, count = np.concatenate([new, new]), np.concatenate([new + 1, lo]), np.concatenate([np.maximum(behind - new - 1, 0), np.maximum(hi - lo, 0)])
+        alone = np.maximum(behind - new - 1, 0)
+        edge = np.flatnonzero(np.r_[True, key[1:] >> 33 != key[:-1] >> 33]) if len(key) else new[:0]
+        if len(edge) and self.dense:
+            # lists without earlier sets where products of matrices cost less than looking at each pair that meets
+            limit, met = room * (num + den) // num - n[doc], np.zeros(len(key), np.int64)
+            met[new] = alone
+            least = np.minimum.reduceat(np.where(met > 0, n[doc], 1 << 32), edge)
+            listed = np.append(edge, len(key))
+            usable = np.add.reduceat((limit >= np.repeat(least, np.diff(listed))).astype(np.int64), edge)
+            begins = np.add.reduceat((met > 0).astype(np.int64), edge)
+            dense = (TILED[0] * begins * usable + TILED[1] * (begins + usable) + TILED[2] < self.dense * np.add.reduceat(met, edge)) & ~np.logical_or.reduceat(old[doc], edge)
+            for k in np.flatnonzero(dense).tolist():
+                rows = slice(int(listed[k]), int(listed[k + 1]))
+                reach = np.arange(rows.stop - rows.start) + 1 + met[rows]
+                for x, y in _tiles(doc[rows], n, limit[rows], reach, sketch, first, words, num, den):
+                    x, y = x + rows.start, y + rows.start
+                    sides = side[x] + side[y]
+                    i, j = ids[doc[x]], ids[doc[y]]
+                    keep = (i != j) & ((sides == 4) | (sides == 1))
+                    if keep.any():
+                        yield np.minimum(i, j)[keep], np.maximum(i, j)[keep]
+            alone[np.repeat(dense, np.diff(listed))[new]] = 0
+        left, start, count = np.concatenate([new, new]), np.concatenate([new + 1, lo]), np.concatenate([alone, np.maximum(hi - lo, 0)])
         some = np.flatnonzero(count)
         left, start, count = left[some], start[some], count[some]
         ends = np.cumsum(count)
@@ -229,6 +258,56 @@ class Cell:
                     yield np.minimum(i, j), np.maximum(i, j)
 
 
+def _signs(sketch: np.ndarray, first: np.ndarray, words: np.ndarray, doc: np.ndarray, w: int) -> np.ndarray:
+    """The bits of the sketches of ``doc``, folded to w words, as -1 and 1; two columns more are left for the sizes."""
+    bits = np.empty((len(doc), w), np.uint64)
+    for i in range(w):
+        bits[:, i] = _folded(sketch, first, words, doc, i, w)
+    out = np.empty((len(doc), 64 * w + 2), np.float32)
+    out[:, :-2] = _SIGNS[bits.view(np.uint8)].view(np.float32).reshape(len(doc), 64 * w)
+    return out
+
+
+def _tiles(doc, n, limit, reach, sketch, first, words, num: int, den: int):
+    """Chunks (x, y) of places in one element's list, in order of size, that pass all bounds.
+
+    x before y, which stands before the ``reach`` of x and whose ``limit`` is x's size or more. The product of two
+    sketches of signs is their bits less twice those that differ, and the budget is a sum of two numbers, each of
+    one set: one product of matrices tells for every place of a tile whether it is within budget.
+    """
+    size, width = n[doc], words[doc]
+    begins = np.flatnonzero(reach > np.arange(len(doc)) + 1)
+    share = 2 * (den - num) / (den + num)
+    high, wide = TILE
+    for w in np.unique(width[begins]).tolist():
+        mine = begins[width[begins] == w]  # the smaller set's sketch is the shorter
+        ends = np.flatnonzero(limit >= size[mine[0]])
+        ends = ends[slice(*np.searchsorted(ends, [mine[0] + 1, reach[mine].max()]))]
+        # tiles of like sizes, and of those with like reach
+        mine = mine[np.lexsort((reach[mine], np.arange(len(mine)) // (8 * high)))]
+        for lo in range(0, len(ends), wide):
+            y, right = ends[lo : lo + wide], None
+            for at in range(0, len(mine), high):
+                x = mine[at : at + high]
+                x = x[(reach[x] > y[0]) & (x < y[-1])]
+                if not len(x):
+                    continue
+                some = np.flatnonzero(limit[y] >= size[x.min()])
+                some = some[slice(*np.searchsorted(y[some], [x.min() + 1, reach[x].max()]))]
+                if not len(some):
+                    continue
+                if right is None:
+                    right = _signs(sketch, first, words, doc[y], w)
+                    right[:, -2], right[:, -1] = 1, share * size[y]
+                left = _signs(sketch, first, words, doc[x], w)
+                left[:, -2], left[:, -1] = share * size[x], 1
+                hit = np.flatnonzero(left @ right[some].T >= 64 * w - 0.01)
+                if len(hit):
+                    i, j = x[hit // len(some)], y[some[hit % len(some)]]
+                    ok = (i < j) & (j < reach[i]) & (limit[j] >= size[i])
+                    yield i[ok], j[ok]
+
+
 def _folded(sketch: np.ndarray, first: np.ndarray, words: np.ndarray, doc: np.ndarray, i: int, w: int) -> np.ndarray:
     """Word i of the sketches of ``doc``, folded to w words."""
     out = sketch[first[doc] + i]

@@ -110,3 +110,41 @@ def test_hot_elements_meet_in_blocks(spark):
     for hot in (40, 7):
         got = [tuple(r) for r in neardup.NearDuplicates(t, hot=hot).pairs().collect()]
         assert set(got) == whole and len(got) == len(whole)
+
+
+@pytest.mark.parametrize("tile", [(3, 7), (192, 4096)])
+def test_products_of_sketches_find_what_single_looks_find(monkeypatch, tile):
+    monkeypatch.setattr(neardup, "TILE", tile)
+    rng = np.random.default_rng(7)
+    pool = rng.integers(0, 1 << 63, 500).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool[:140], rng.integers(1, 90))) for _ in range(60)] + [np.unique(rng.choice(pool, rng.integers(180, 460), replace=False)) for _ in range(50)]
+    h, offsets = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+    ranks = np.minimum(np.log2(neardup.element_counts(h) + 1) * 8, 255).astype(np.uint8)
+    entries = neardup.Entries.of(neardup.set_ids(h, offsets), h, offsets, ranks, 1, 2)
+    calls, tiles = [], neardup._tiles
+    monkeypatch.setattr(neardup, "_tiles", lambda *a: calls.append(len(a[0])) or tiles(*a))
+    for hot in (1 << 30, 25):
+        cells, blobs, _ = entries.spread(ranks, 2, hot)[1].packed(entries.spread(ranks, 2, hot)[0], False, True)
+        found = []
+        for looked in (0, 1 << 40):
+            calls.clear()
+            out = set()
+            for blob in blobs:
+                cell = neardup.Cell(looked)
+                cell.add(blob)
+                out |= {(int(a), int(b)) for x, y in cell.pairs(1, 2) for a, b in zip(x, y, strict=True)}
+            found.append(out)
+            assert bool(calls) == bool(looked)
+        assert found[0] == found[1] and len(found[0]) > 20
+
+
+def test_long_lists_are_not_looked_at_pair_by_pair(monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(np.r_[np.uint64(11), rng.integers(12, 1 << 63, 99).astype(np.uint64)]) for _ in range(1500)]
+    h, offsets = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+    n = np.diff(offsets)
+    entries = neardup.Entries(np.arange(1500), n, neardup.sketches(h, offsets)[0], np.arange(1500), np.full(1500, 5, np.uint64), np.zeros(1500, np.int64))
+    monkeypatch.setattr(neardup, "ring_chains", lambda *a: pytest.fail("a long list pair by pair"))
+    cell = neardup.Cell()
+    cell.add(entries.packed(np.zeros(1500, np.int64), False, True)[1][0])
+    assert not list(cell.pairs(1, 2))
