@@ -11,8 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators import ballots
 from factloom.session import cut, parallelism
 
+#: Rows of a join of pairs from which blocks are worth their planning.
+MET = 5_000_000
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
     """``old`` with the rows of ``new`` put in: the last by ``order`` wins among new rows of one key.
@@ -94,11 +98,22 @@ def shared_groups(members: DataFrame, group: str, member: str, least: int, max_g
     return p.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
 
 
-def agreement(votes: DataFrame, session: str, voter: str, vote: str, min_votes: int = 20, min_same: int = 20, min_ratio: float = 0.75) -> DataFrame:
-    """(a, b, shared, same, ratio) of voters who vote alike; one vote a voter and session (the least)."""
+def agreement(votes: DataFrame, session: str, voter: str, vote: str, min_votes: int = 20, min_same: int = 20, min_ratio: float = 0.75, most_met: int = MET) -> DataFrame:
+    """(a, b, shared, same, ratio) of voters who vote alike; one vote a voter and session (the least).
+
+    All pairs of a session meet. Where that is more than ``most_met`` rows, and
+    nearly all voters meet, they are counted by blocks of voters instead.
+    """
     v = votes.select(session, voter, vote).dropna().groupBy(session, voter).agg(F.min(vote).alias("v"))
     active = v.groupBy(voter).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_votes).select(voter)
     v = v.join(active, voter, "left_semi")
+    met = v.groupBy(session).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("sessions"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("rows")).first()
+    if (met.rows or 0) > most_met:
+        v = cut(v)
+        voters, votes = v.agg(F.count_distinct(voter), F.count_distinct("v")).first()
+        # a row of the join costs some thousand multiplications
+        if voters * voters / 2 * met.sessions * (1 + votes) < met.rows * 3000:
+            return ballots.agreeing(v, session, voter, min_votes, min_same, min_ratio, voters)
     a, b = v.toDF("a", "s", "va") if v.columns[0] == voter else v.select(voter, session, "v").toDF("a", "s", "va"), v.select(voter, session, "v").toDF("b", "s", "vb")
     p = a.join(b, "s").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.count_if(F.col("va") == F.col("vb")).alias("same"))
     return p.withColumn("ratio", F.round(F.col("same") / F.col("shared"), 4)).filter((F.col("shared") >= min_votes) & (F.col("same") >= min_same) & (F.col("ratio") >= min_ratio))
