@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.relational import top_per
+from factloom.session import cut
+
+_KINDS = ("numbers", "names", "words")
+#: Claims and documents of one number or name that meet in one task, claims looked at together, and what is met with others in one call.
+CLAIMS, DOCUMENTS, ROWS, RARE = 8_000, 5_000, 250, 400
 
 
 def best_documents(claims: DataFrame, documents: DataFrame, number: str, name: str, word: str, k: int) -> DataFrame:
     """(id, item, score, reliable): the ``k`` best of ``documents`` (item, text, official) for each claim (id, content_item_id, text).
 
     5 a common number, 2 a common name, 2.5 a common long word, 1 for an
-    official source. Only documents that share a number or a name are met, by
-    equality joins. Reliable is a number with a word, or a name with two words.
+    official source. Only documents that share a number or a name are met, under
+    each of these, as products of matrices that keep the ``k`` best at once; a
+    frequent one is met in parts. Reliable is a number with a word, or a name with two words.
     """
 
     def features(d: DataFrame) -> DataFrame:
@@ -23,18 +31,77 @@ def best_documents(claims: DataFrame, documents: DataFrame, number: str, name: s
         t = F.coalesce("text", F.lit(""))
         return d.withColumns({"numbers": found(number, t), "names": found(name, t), "words": found(word, F.lower(t))}).drop("text")
 
-    a, b = features(claims), features(documents)
-    keys = lambda d, *c: d.select(*c, F.explode(F.array_distinct(F.concat("numbers", "names"))).alias("k"))
-    met = keys(a, "id", "content_item_id").join(keys(b, "item"), "k").filter("item != content_item_id").select("id", "item").distinct()
-    x = met.join(a.drop("content_item_id"), "id").join(b.select("item", "official", *[F.col(c).alias(f"b_{c}") for c in ("numbers", "names", "words")]), "item")
-    common = lambda c: F.size(F.array_intersect(c, f"b_{c}"))
-    x = x.select("id", "item", "official", *[common(c).alias(c) for c in ("numbers", "names", "words")])
-    score = F.col("numbers") * 5.0 + F.col("names") * 2.0 + F.col("words") * 2.5 + F.when(F.col("official"), 1.0).otherwise(0.0)
-    reliable = ((F.col("numbers") > 0) & (F.col("words") > 0)) | ((F.col("names") > 0) & (F.col("words") >= 2))
-    y = x.select("id", "item", score.alias("score"), reliable.alias("reliable"))
+    hashed = lambda d: d.withColumns({c: F.transform(c, lambda x: F.xxhash64(x)) for c in _KINDS})
+    keyed = lambda d, *c: hashed(d.select(*c, *_KINDS, F.explode(F.array_distinct(F.concat("numbers", "names"))).alias("k")))
+    a, b = keyed(features(claims), "id", "content_item_id"), keyed(features(documents), "item", "official")
+    count = lambda d, n: d.groupBy("k").agg(F.count(F.lit(1)).alias(n))
+    met = cut(count(a, "_na").join(count(b, "_nb"), "k"))
+    rare = (F.col("_na") < RARE) & (F.col("_nb") < RARE)
+    groups = max(1, int((met.filter(rare).agg(F.sum(F.col("_na") + F.col("_nb")).alias("n")).first().n or 0) // max(1, 2 * RARE)))
+    # rare ones share a task's call: those that have none in common there are told by their sets
+    parts = met.select(
+        "k", F.when(rare, "").otherwise(F.col("k")).alias("_k"), F.when(rare, F.pmod(F.xxhash64("k"), F.lit(groups))).otherwise(-1).alias("_g"),
+        F.ceil(F.col("_na") / CLAIMS).alias("_ca"), F.ceil(F.col("_nb") / DOCUMENTS).alias("_cb"),
+    )
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    a = a.join(parts, "k").withColumn("_a", part("id", "_ca")).withColumn("_b", every("_cb")).drop("_ca", "_cb")
+    b = b.join(parts.withColumnsRenamed({"_k": "_kb", "_g": "_gb"}), "k").withColumn("_b", part("item", "_cb")).withColumn("_a", every("_ca")).drop("_ca", "_cb")
+
+    def best(x, y):
+        return _best(x, y, k)
+
+    y = a.groupBy("_k", "_g", "_a", "_b").cogroup(b.groupBy("_kb", "_gb", "_a", "_b")).applyInArrow(best, "id long, item long, score double, reliable boolean").distinct()
     return top_per(y, ["id"], [F.col("reliable").desc(), F.col("score").desc(), F.col("item")], k).drop("rank")
 
 
+def _incidence(flat: np.ndarray, row: np.ndarray, rows: int, columns: np.ndarray) -> np.ndarray:
+    """Which of ``columns`` (ascending) each row has."""
+    out = np.zeros((rows, len(columns)), np.float32)
+    if len(columns):
+        at = np.minimum(np.searchsorted(columns, flat), len(columns) - 1)
+        there = columns[at] == flat
+        out[row[there], at[there]] = 1
+    return out
+
+
+def _best(claims, documents, k: int):
+    """The k best of some documents that share a key with all of some claims, for each claim."""
+    names, kinds = ["id", "item", "score", "reliable"], [pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+    if not claims.num_rows or not documents.num_rows:
+        return pa.table([pa.array([], t) for t in kinds], names=names)
+    first = lambda t, c: t.take(pa.array(np.unique(t[c].to_numpy(), return_index=True)[1]))
+    claims, documents = first(claims, "id"), first(documents, "item")
+    item, official = documents["item"].to_numpy(), documents["official"].to_numpy().astype(np.float32)
+
+    def flat(t, kind):
+        x = t[kind].combine_chunks()
+        lists = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
+        return lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+
+    theirs = {c: flat(documents, c) for c in _KINDS}
+    out = []
+    for lo in range(0, claims.num_rows, ROWS):
+        t = claims.slice(lo, ROWS)
+        common = {}
+        for c in _KINDS:
+            own, row = flat(t, c)
+            columns = np.intersect1d(own, theirs[c][0])
+            common[c] = _incidence(own, row, t.num_rows, columns) @ _incidence(*theirs[c], len(item), columns).T
+        score = common["numbers"] * 5 + common["names"] * 2 + common["words"] * 2.5 + official
+        reliable = ((common["numbers"] > 0) & (common["words"] > 0)) | ((common["names"] > 0) & (common["words"] >= 2))
+        # halves as whole numbers, then the earlier item: one number orders all
+        order = (reliable * 1e6 + score * 2.0).astype(np.float64) * len(item) - np.arange(len(item))
+        order[common["numbers"] + common["names"] == 0] = -np.inf
+        order[t["content_item_id"].to_numpy()[:, None] == item] = -np.inf
+        top = np.argpartition(-order, k - 1, axis=1)[:, :k] if k < len(item) else np.tile(np.arange(len(item)), (t.num_rows, 1))
+        i, j = np.repeat(np.arange(t.num_rows), top.shape[1]), top.ravel()
+        keep = np.isfinite(order[i, j])
+        i, j = i[keep], j[keep]
+        out.append(pa.table([pa.array(x) for x in (t["id"].to_numpy()[i], item[j], score[i, j].astype(np.float64), reliable[i, j])], names=names))
+    return pa.concat_tables(out)
+
+
 def corroborating(claims: DataFrame, mentions: DataFrame) -> DataFrame:
     """(id, source_id, way, item): for each claim the first item of every other source that makes the same claim (way 1), else whose claim shares an entity (way 2).
 
